@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollframe import runtime
 from rollframe.functions import text
-from rollframe.llm import ledger, quantiles, topn
+from rollframe.llm import ledger, pairs, quantiles, topn
 
 #: Days of arrival that make one batch of the ledger.
 BATCH_DAYS = 8
@@ -72,7 +72,12 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.counts().where(F.col("copies") > 1).select("first_id", "copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_records)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts whose answer is defective, with the kind of defect."""
+    return pairs.defects(runtime.table(spark, sf_dir, "rollouts"), runtime.table(spark, sf_dir, "cases"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_records, p5_found)}
 
 _CASE = "nullif(trim(regexp_replace(lower(case_id), '[^\\p{L}\\p{N}]+', '_', 'g'), '_'), '')"
 
