@@ -49,7 +49,7 @@ class Sketch:
 
     def _push(self, buffer: np.ndarray, level: int) -> None:
         while True:
-            if level == len(self.full):
+            while level >= len(self.full):
                 self.full.append(None)
             other = self.full[level]
             if other is None:
