@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollframe import runtime
 from rollframe.functions import text
-from rollframe.llm import ledger, pairs, quantiles, topn
+from rollframe.llm import leakage, ledger, pairs, quantiles, topn
 
 #: Days of arrival that make one batch of the ledger.
 BATCH_DAYS = 8
@@ -77,7 +77,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(runtime.table(spark, sf_dir, "rollouts"), runtime.table(spark, sf_dir, "cases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_records, p5_found)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item in long runs, with the item."""
+    return leakage.leaks(runtime.table(spark, sf_dir, "documents"), runtime.table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_records, p5_found, p6_found)}
 
 _CASE = "nullif(trim(regexp_replace(lower(case_id), '[^\\p{L}\\p{N}]+', '_', 'g'), '_'), '')"
 
