@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollframe import runtime
 from rollframe.functions import text
-from rollframe.llm import leakage, ledger, pairs, quantiles, topn
+from rollframe.llm import leakage, ledger, mixing, pairs, quantiles, residue, topn
 
 #: Days of arrival that make one batch of the ledger.
 BATCH_DAYS = 8
@@ -82,7 +82,44 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(runtime.table(spark, sf_dir, "documents"), runtime.table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_records, p5_found, p6_found)}
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = runtime.written(mixing.sized(runtime.table(spark, sf_dir, "documents")), "sizes")
+    return sizes, mixing.plan(sizes, runtime.table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share within the allowed repeats."""
+    _, planned = _sizes(spark, sf_dir)
+    return planned.where(~F.col("reachable")).select(F.col("name").alias("source"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in training order, each copy with its position."""
+    return mixing.mixture(*_sizes(spark, sf_dir))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    sizes, planned = _sizes(spark, sf_dir)
+    planned = runtime.cut(planned)
+    return mixing.shares(mixing.mixture(sizes, planned), planned)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold template residue or a failed page."""
+    return residue.residue(runtime.table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that stay when those with residue are excluded."""
+    docs = runtime.table(spark, sf_dir, "documents")
+    return residue.without_residue(docs.select("doc_id"), residue.residue(docs))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_records, p5_found, p6_found, p7_found, p7_mixture, p7_shares, p8_found, p8_clean)
+}
 
 _CASE = "nullif(trim(regexp_replace(lower(case_id), '[^\\p{L}\\p{N}]+', '_', 'g'), '_'), '')"
 
@@ -99,4 +136,10 @@ SQL = {
         s AS (SELECT run_id, scenario_type, quantile_disc(v, 0.5) AS p50 FROM r WHERE run_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 8),
         w AS (SELECT scenario_type, quantile_disc(v, 0.25) AS p25, quantile_disc(v, 0.75) AS p75 FROM r GROUP BY ALL)
         SELECT run_id, scenario_type FROM s JOIN w USING (scenario_type) WHERE p50 < p25 OR p50 > p75""",
+    # sizes in characters: which sources fall short does not depend on the measure
+    "p7_found": """
+        WITH d AS (SELECT trim(regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', '_', 'g'), '_') AS source, length(text) AS n FROM documents),
+        own AS (SELECT source, sum(n) AS have FROM d GROUP BY source), whole AS (SELECT sum(n) AS total FROM d)
+        SELECT t.source FROM mix_targets t CROSS JOIN whole LEFT JOIN own ON own.source = t.source
+        WHERE t.target_share * total > t.max_repeats * coalesce(have, 0)""",
 }
