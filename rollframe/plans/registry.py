@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from rollframe.plans import drift
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (drift,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
