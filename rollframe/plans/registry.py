@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rollframe.plans import drift
+from rollframe.plans import drift, evaluation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (drift,):
+for _module in (drift, evaluation):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
