@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rollframe.plans import comparison, drift, evaluation
+from rollframe.plans import comparison, data, drift, evaluation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (drift, evaluation, comparison):
+for _module in (drift, evaluation, comparison, data):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
