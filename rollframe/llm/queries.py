@@ -52,7 +52,8 @@ def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ledger.Ledger,
         ledger.key_of(text.canonical_id("case_id"), ledger.canonical_text(F.col("output"))).alias("key"),
         F.coalesce(F.floor(F.datediff("ingested_at", F.lit("1970-01-01")) / BATCH_DAYS), F.lit(0)).cast("int").alias("batch"),
     )
-    keyed = runtime.written(rows.where(F.col("key").isNotNull()), "keyed")
+    # written before the nulls are dropped: a filter on the key would make Spark compute it twice
+    keyed = runtime.written(rows, "keyed").where(F.col("key").isNotNull())
     book = ledger.Ledger(spark)
     per_batch = keyed.groupBy("batch").count().orderBy("batch").collect()  # one row per BATCH_DAYS days
     for b in per_batch:
