@@ -105,7 +105,7 @@ def canonical_fingerprints(spark, d):
 @query("SELECT n_name, r_name, i FROM nation CROSS JOIN region CROSS JOIN range(0, 3) t(i)")
 def case_cross_product(spark, d):
     n, r = runtime.table(spark, d, "nation"), runtime.table(spark, d, "region")
-    return n.select("n_name").crossJoin(F.broadcast(r.select("r_name"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long"))  # 25 x 5 rows
+    return n.select("n_name").crossJoin(F.broadcast(r.select("r_name"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))  # 25 x 5 rows
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -211,8 +211,8 @@ def overlong_topk(spark, d):
     return dl.longest(runtime.table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 20)
 
 
-@query("""WITH x AS (SELECT matter_id, case_id, list_transform(reference_actions, a -> a) AS acts, max(len(reference_actions)) OVER (PARTITION BY matter_id) AS m FROM (SELECT DISTINCT ON (case_id) * FROM cases))
-    SELECT case_id, array_to_string(list_concat(acts, list_transform(range(0, m - len(acts)), i -> 'PAD')), ' ') AS padded FROM x""")
+@query("""WITH x AS (SELECT matter_id, case_id, reference_actions AS acts, max(len(reference_actions)) OVER (PARTITION BY matter_id) AS m FROM (SELECT DISTINCT ON (case_id) * FROM cases))
+    SELECT case_id, array_to_string(list_concat(acts, list_transform(range(0, m - len(acts)), lambda i: 'PAD')), ' ') AS padded FROM x""")
 def padded_batches(spark, d):
     p = dl.padded(cases(spark, d).select("matter_id", "case_id", "reference_actions"), "matter_id", "reference_actions", F.lit("PAD"))
     return p.select("case_id", F.array_join("reference_actions", " ").alias("padded"))
@@ -265,7 +265,7 @@ def first_terminal_action(spark, d):
     return rows.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("no"))).alias("first_terminal"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_EV}, f AS (SELECT user_id, min(no) AS at FROM e WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id, count(*) AS trailing FROM e JOIN f USING (user_id) WHERE no > at GROUP BY user_id")
+@query(f"WITH {_EV}, f AS (SELECT user_id, min(no) AS t FROM e WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id, count(*) AS trailing FROM e JOIN f USING (user_id) WHERE no > t GROUP BY user_id")
 def trailing_actions(spark, d):
     rows = sq.marked(runtime.table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", ["purchase"])
     return rows.where("done_before").groupBy("user_id").agg(F.count(F.lit(1)).alias("trailing"))
@@ -314,7 +314,7 @@ def set_operations(spark, d):
     return n(a.subtract(b), "only_orders").unionAll(n(a.intersect(b), "both")).unionAll(n(a.union(b).distinct(), "either")).unionAll(n(a.unionAll(b), "all"))
 
 
-@query(f"""WITH {_CASES} SELECT case_id, array_to_string(list_sort(list_filter(rules.required_tools, t -> NOT list_contains(reference_actions, t))), ' ') AS uncalled, list_first(list_filter(reference_actions, t -> t <> 'ASK_USER')) AS first_tool,
+@query(f"""WITH {_CASES} SELECT case_id, array_to_string(list_sort(list_filter(rules.required_tools, lambda t: NOT list_contains(reference_actions, t))), ' ') AS uncalled, list_first(list_filter(reference_actions, lambda t: t <> 'ASK_USER')) AS first_tool,
     reference_actions[-1] AS last, len(rules.required_slots) // 2 AS half, format('{{:03d}}', len(reference_actions)) AS padded FROM c""")
 def array_functions(spark, d):
     a = F.col("reference_actions")
@@ -325,11 +325,11 @@ def array_functions(spark, d):
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(text, '[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS squeezed, length(text) AS points, lower(text) AS lowered, starts_with(text, '来电') AS is_call,
-    replace(text, '。', '.') AS replaced, regexp_matches(source, '^[a-z0-9][a-z0-9_-]*$') AS is_slug, CAST(strpos(text, chr(10)) AS INTEGER) AS first_break FROM documents""")
+    replace(text, '。', '.') AS replaced, coalesce(regexp_matches(source, '^[a-z0-9][a-z0-9_-]*$'), false) AS is_slug, CAST(strpos(text, chr(10)) AS INTEGER) AS first_break FROM documents""")
 def text_functions(spark, d):
     return runtime.table(spark, d, "documents").select(
         "doc_id", text.squeeze_space("text").alias("squeezed"), F.length("text").alias("points"), F.lower("text").alias("lowered"), F.startswith("text", F.lit("来电")).alias("is_call"),
-        F.replace("text", F.lit("。"), F.lit(".")).alias("replaced"), F.rlike("source", F.lit("^[a-z0-9][a-z0-9_-]*$")).alias("is_slug"), F.instr("text", "\n").alias("first_break"),
+        F.replace("text", F.lit("。"), F.lit(".")).alias("replaced"), F.coalesce(F.rlike("source", F.lit("^[a-z0-9][a-z0-9_-]*$")), F.lit(False)).alias("is_slug"), F.instr("text", "\n").alias("first_break"),
     )
 
 
