@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollframe import runtime
+from rollframe.functions import text
 
 BUCKETS = 16
 
@@ -22,7 +23,7 @@ def canonical_text(c: Column) -> Column:
     Letters are folded, then the objects inside <tool_call> blocks are written with sorted keys (the order of blocks
     and of array items stays), then everything but letters and digits goes. A block that is no valid JSON keeps its
     own order. Text without letter or digit and null give null."""
-    low = F.lower(F.upper(c))
+    low = text.folded(c)
     between = F.split(low, _BLOCK)
     blocks = F.regexp_extract_all(low, F.lit(_BLOCK), 1)
     tidy = F.transform(blocks, lambda b: F.coalesce(F.regexp_replace(F.to_json(F.try_parse_json(b)), _ESCAPE, " "), b))

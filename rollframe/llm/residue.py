@@ -112,7 +112,7 @@ _NOVALUE = re.compile(r"(?<![a-z])(?:undefined|null|nan)(?![a-z])|(?<![a-z])none
 _XS = re.compile(r"(?<![a-z])x{2,}(?![a-z])", re.I)
 _ZEROS = re.compile(r"(?<!\d)0{3,4}-0{3,4}(?:-0{3,4})?(?!\d)")
 _PASSAGE = re.compile(r"(?<=[。！？!?\n；])|(?<=[.;])(?=\s|[^\x00-\x7f])")
-_TOKEN = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+|[-]")
+_TOKEN = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+|[\ue000-\ue006]")
 
 
 def shaped(text: str) -> str:
