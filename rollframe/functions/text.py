@@ -31,9 +31,14 @@ def label(c) -> Column:
     return F.nullif(F.lower(squeeze_space(c)), F.lit(""))
 
 
+def folded(c) -> Column:
+    """Lower case for comparisons: by way of upper case, and with ss for ß, so that texts written in capitals agree."""
+    return F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss"))
+
+
 def alnum(c) -> Column:
-    """Letters and digits only, case folded (upper then lower, so that ß and SS agree)."""
-    return F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, case folded."""
+    return F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", "")
 
 
 def tool_blocks(c) -> Column:
