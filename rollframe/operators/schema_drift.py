@@ -156,7 +156,7 @@ def typed_values(values: DataFrame, names: DataFrame, types: dict[str, str]) ->
     text_fields = [f for f, t in types.items() if t == "string"]
     rows = values.join(F.broadcast(names), "path")  # one row per field name
     v, t = F.col("value"), F.col("type")
-    strings = F.regexp_extract_all(v, F.lit(r'"([^"]*)"(?!\s*:)'), 1)
+    strings = F.map_values(F.from_json(F.when(t == "object", v), "map<string,string>"))
     longest = F.element_at(F.array_sort(strings, lambda a, b: F.length(b) - F.length(a)), 1)
     as_text = F.when(t == "string", v).when(t == "array", F.array_join(F.from_json(v, "array<string>"), "")).when(t == "object", F.when(F.size(strings) > 0, longest)).otherwise(v)
     pair = F.from_json(v, "array<double>")
@@ -175,10 +175,11 @@ def typed_values(values: DataFrame, names: DataFrame, types: dict[str, str]) ->
 
 def unified(lines: DataFrame, values: DataFrame, types: dict[str, str]) -> DataFrame:
     """One row per readable line with all fields of types; missing and uncastable values are null."""
-    wide = values.groupBy(*FILE, "line_no").agg(*[F.min(F.when(F.col("field") == f, F.col("cast"))).alias(f) for f in types])
+    keys = [*FILE, "line_no"]
+    wide = values.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.min(F.when(F.col("field") == f, F.col("cast"))).alias(f) for f in types])
     cols = [F.col(f).try_cast("double").cast("bigint").alias(f) if t == "bigint" else F.col(f).try_cast(t).alias(f) for f, t in types.items()]
-    keys = [lines[c].eqNullSafe(wide[c]) for c in [*FILE, "line_no"]]
-    return lines.join(wide, keys[0] & keys[1] & keys[2], "left").select(*[lines[c] for c in [*FILE, "line_no"]], *cols)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return lines.select(*keys).join(wide, same[0] & same[1] & same[2], "left").select(*keys, *cols)
 
 
 def failed_casts(values: DataFrame) -> DataFrame:
