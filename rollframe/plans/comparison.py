@@ -81,7 +81,7 @@ def verdict_table(spark, d):
     return c.with_fallback(_verdicts(spark, d), summary, "metric")
 
 
-@query(f"""{_VERDICTS}, o AS (SELECT count(DISTINCT CASE WHEN metric IN ('final', 'process') THEN metric END) AS have, count_if(metric IN ('final', 'process') AND verdict = 'regressed') AS regressed, count_if(metric = 'process' AND verdict = 'improved') AS improved FROM vd)
+@query(f"""{_VERDICTS}, o AS (SELECT count(DISTINCT CASE WHEN metric IN ('final', 'process') THEN metric END) AS have, count(CASE WHEN metric IN ('final', 'process') AND verdict = 'regressed' THEN 1 END) AS regressed, count(CASE WHEN metric = 'process' AND verdict = 'improved' THEN 1 END) AS improved FROM vd)
     SELECT CASE WHEN have < 2 THEN 'invalid' WHEN regressed > 0 THEN 'reject' WHEN improved > 0 THEN 'promote' ELSE 'needs_more_evidence' END AS decision, have, regressed, improved FROM o""")
 def promotion_decision(spark, d):
     return c.decide(_verdicts(spark, d), ["final", "process"], ["process"])
@@ -91,13 +91,13 @@ def _wilson_sql(s: str, n: str) -> str:
     return f"coalesce(({s} / CAST({n} AS DOUBLE) + 3.8416 / (2 * {n}) - 1.96 * sqrt({s} / CAST({n} AS DOUBLE) * (1 - {s} / CAST({n} AS DOUBLE)) / {n} + 3.8416 / (4.0 * {n} * {n}))) / (1 + 3.8416 / {n}), 0)"
 
 
-@query(f"WITH {ONCE}, g AS (SELECT scenario, count_if(process) AS s, count(*) AS n FROM r GROUP BY scenario) SELECT scenario, n, {_wilson_sql('s', 'n')} AS lower FROM g", "lower")
+@query(f"WITH {ONCE}, g AS (SELECT scenario, count(CASE WHEN process THEN 1 END) AS s, count(*) AS n FROM r GROUP BY scenario) SELECT scenario, n, {_wilson_sql('s', 'n')} AS lower FROM g", "lower")
 def wilson_lower_bound(spark, d):
     g = rollouts(spark, d).groupBy("scenario").agg(F.count_if("process").alias("s"), F.count(F.lit(1)).alias("n"))
     return g.select("scenario", "n", c.wilson_low(F.col("s"), F.col("n")).alias("lower"))
 
 
-_CHECK = f"""{ONCE}, g AS (SELECT run_id, step, scenario, case_id, count(*) AS n, count_if(process) AS k FROM r WHERE case_id IS NOT NULL AND scenario IS NOT NULL GROUP BY ALL),
+_CHECK = f"""{ONCE}, g AS (SELECT run_id, step, scenario, case_id, count(*) AS n, count(CASE WHEN process THEN 1 END) AS k FROM r WHERE case_id IS NOT NULL AND scenario IS NOT NULL GROUP BY ALL),
     sc AS (SELECT run_id, step, scenario, sum(k) / CAST(sum(n) AS DOUBLE) AS at_1, avg(CASE WHEN k > 0 THEN 1.0::DOUBLE ELSE 0 END) AS at_k, sum(k) AS k, sum(n) AS n, count(*) AS cases FROM g GROUP BY ALL),
     t AS (SELECT run_id, step, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(n) AS BIGINT) AS rollouts, min(at_1) AS worst_at_1, min(at_k) AS worst_at_k, stddev_pop(at_1) AS spread, sum(k) / CAST(sum(n) AS DOUBLE) AS at_1, {_wilson_sql('sum(k)', 'sum(n)')} AS lower FROM sc GROUP BY ALL)"""
 _CHECKED = "worst_at_1 worst_at_k spread at_1 lower"

@@ -47,7 +47,7 @@ def missing_cases(spark, d):
     return runtime.table(spark, d, "orders").select("o_orderkey").join(runtime.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@query(f"WITH {ONCE} SELECT count(*) AS records, count(DISTINCT rollout_id) AS ids, count_if(rollout_id IS NULL) AS empty_ids, count(DISTINCT step) AS steps, min(step) AS first_step, max(step) AS last_step FROM r")
+@query(f"WITH {ONCE} SELECT count(*) AS records, count(DISTINCT rollout_id) AS ids, count(CASE WHEN rollout_id IS NULL THEN 1 END) AS empty_ids, count(DISTINCT step) AS steps, min(step) AS first_step, max(step) AS last_step FROM r")
 def snapshot_check(spark, d):
     return q.snapshot(rollouts(spark, d), "rollout_id", "step")
 
@@ -77,7 +77,7 @@ def reference_path_violations(spark, d):
 
 @query(f"""WITH {_CASES}, s AS (SELECT case_id, visible_slots, unnest(rules.eligibility_rules) AS rule FROM c),
     k AS (SELECT case_id, rule.operator AS op, TRY_CAST(json_extract_string(visible_slots, '$.' || rule.slot) AS DOUBLE) AS a, TRY_CAST(rule.value AS DOUBLE) AS b FROM s)
-    SELECT op, count(*) AS rules, count_if(CASE op WHEN '>=' THEN a >= b WHEN '<=' THEN a <= b WHEN '>' THEN a > b WHEN '<' THEN a < b END) AS holding FROM k WHERE op IN ('>=', '<=', '>', '<') GROUP BY op""")
+    SELECT op, count(*) AS rules, count(CASE WHEN CASE op WHEN '>=' THEN a >= b WHEN '<=' THEN a <= b WHEN '>' THEN a > b WHEN '<' THEN a < b END THEN 1 END) AS holding FROM k WHERE op IN ('>=', '<=', '>', '<') GROUP BY op""")
 def operator_in_data(spark, d):
     """Comparisons whose operator is a column: rules against the slots that a case shows."""
     e = cases(spark, d).select("visible_slots", F.explode("rules.eligibility_rules").alias("rule")).where(F.col("rule.operator").isin(">=", "<=", ">", "<"))
@@ -129,8 +129,8 @@ def rubric_score(spark, d):
     return runtime.table(spark, d, "rollouts").dropDuplicates(["rollout_id"]).select("rollout_id", q.rubric({k: (F.col(k), w) for k, w in _W.items()}).alias("rubric"))
 
 
-@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE least(1, 0.25 + CASE WHEN length(text) >= 20 THEN 0.25 ELSE 0.1 END + CASE WHEN contains(text, '办理') OR contains(text, 'apply') THEN 0.25 ELSE 0 END
-    + CASE WHEN contains(text, '材料') OR contains(text, 'papers') THEN 0.25 ELSE 0 END) END AS score FROM documents""", "score")
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 0::DOUBLE ELSE least(1, 0.25 + CASE WHEN length(text) >= 20 THEN 0.25 ELSE 0.1 END + CASE WHEN contains(text, '办理') OR contains(text, 'apply') THEN 0.25 ELSE 0 END
+    + CASE WHEN contains(text, '材料') OR contains(text, 'papers') THEN 0.25 ELSE 0 END)::DOUBLE END AS score FROM documents""", "score")
 def heuristic_score(spark, d):
     has = lambda *w: F.when(F.coalesce(F.greatest(*[F.contains("text", F.lit(x)) for x in w]), F.lit(False)), 0.25).otherwise(0.0)
     s = F.least(F.lit(1.0), 0.25 + F.when(F.length("text") >= 20, 0.25).otherwise(0.1) + has("办理", "apply") + has("材料", "papers"))
@@ -297,7 +297,7 @@ def episode_fold(spark, d):
     return sq.fold(runtime.table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", ["purchase"], 12)
 
 
-@query("SELECT event_type, count(*) AS n, sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum, max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY event_type")
 def json_property_agg(spark, d):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     return runtime.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))

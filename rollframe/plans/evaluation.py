@@ -26,7 +26,7 @@ ONCE = r"""
     r AS (SELECT *, safe AND coalesce(process_compliant, CAST(required_tool_rate >= 1 AS DOUBLE), 0) >= 1 AS process FROM s)"""
 
 _LEVEL = """
-    c AS (SELECT {keys} case_id, count(*) AS n, count_if(final) AS c_final, count_if(safe) AS c_safe, count_if(process) AS c_process,
+    c AS (SELECT {keys} case_id, count(*) AS n, count(CASE WHEN final THEN 1 END) AS c_final, count(CASE WHEN safe THEN 1 END) AS c_safe, count(CASE WHEN process THEN 1 END) AS c_process,
                  stddev_pop(reward_value) AS sd, sum(reward_value) AS rs, count(reward_value) AS rn FROM r WHERE case_id IS NOT NULL GROUP BY {keys} case_id)"""
 _METRICS = """
     count(*) AS case_count, CAST(sum(n) AS BIGINT) AS row_count, sum(c_final) / CAST(sum(n) AS DOUBLE) AS pass_at_1, sum(c_safe) / CAST(sum(n) AS DOUBLE) AS safe_pass_at_1,
@@ -89,7 +89,7 @@ def mean_over_present(spark, d):
     return m.means_of_present(rollouts(spark, d), ["run_id", "step"], ["rounds", "score", *judged], judged)
 
 
-@query(f"WITH {ONCE} SELECT run_id, avg(CASE WHEN judge_used > 0 AND judge_score >= 0 THEN judge_score END) AS judged_score, count_if(judge_used > 0 AND judge_score >= 0) AS judged FROM r GROUP BY run_id", "judged_score")
+@query(f"WITH {ONCE} SELECT run_id, avg(CASE WHEN judge_used > 0 AND judge_score >= 0 THEN judge_score END) AS judged_score, count(CASE WHEN judge_used > 0 AND judge_score >= 0 THEN 1 END) AS judged FROM r GROUP BY run_id", "judged_score")
 def judged_score(spark, d):
     ok = (F.col("judge_used") > 0) & (F.col("judge_score") >= 0)
     return rollouts(spark, d).groupBy("run_id").agg(F.avg(F.when(ok, F.col("judge_score"))).alias("judged_score"), F.count_if(ok).alias("judged"))
@@ -103,7 +103,7 @@ def fallback_reward(spark, d):
     )
 
 
-@query(f"WITH {ONCE} SELECT split, count_if(final) AS final, count_if(safe) AS safe, count_if(process) AS process, count(*) AS n FROM r GROUP BY split")
+@query(f"WITH {ONCE} SELECT split, count(CASE WHEN final THEN 1 END) AS final, count(CASE WHEN safe THEN 1 END) AS safe, count(CASE WHEN process THEN 1 END) AS process, count(*) AS n FROM r GROUP BY split")
 def success_predicates(spark, d):
     return rollouts(spark, d).groupBy("split").agg(*[F.count_if(c).alias(c) for c in ("final", "safe", "process")], F.count(F.lit(1)).alias("n"))
 
@@ -138,8 +138,8 @@ def action_distribution(spark, d):
     return h.withColumn("share", F.col("calls") / F.sum("calls").over(Window.partitionBy("run_id")))
 
 
-@query(f"""WITH {ONCE}, {_CALLS} SELECT run_id, count(*) AS calls, count_if(name <> 'government_service') / CAST(greatest(1, count(*)) AS DOUBLE) AS invalid_name_rate,
-    count_if(action IS NULL) / CAST(greatest(1, count(*)) AS DOUBLE) AS malformed_rate FROM k GROUP BY run_id""")
+@query(f"""WITH {ONCE}, {_CALLS} SELECT run_id, count(*) AS calls, count(CASE WHEN name <> 'government_service' THEN 1 END) / CAST(greatest(1, count(*)) AS DOUBLE) AS invalid_name_rate,
+    count(CASE WHEN action IS NULL THEN 1 END) / CAST(greatest(1, count(*)) AS DOUBLE) AS malformed_rate FROM k GROUP BY run_id""")
 def tool_call_stats(spark, d):
     n = F.count(F.lit(1))
     return m.calls(rollouts(spark, d), ["run_id"]).groupBy("run_id").agg(n.alias("calls"), m.ratio(F.count_if("wrong_name"), n).alias("invalid_name_rate"), m.ratio(F.count_if("malformed"), n).alias("malformed_rate"))

@@ -65,7 +65,7 @@ def stream_windows(spark, d):
     return t.select("start", "event_type", "n", "total")
 
 
-@query("SELECT step, count(*) AS n, count_if(coalesce(final_action_correct, 0) > 0) AS successes FROM (SELECT DISTINCT ON (rollout_id) * FROM rollouts) GROUP BY step")
+@query("SELECT step, count(*) AS n, count(CASE WHEN coalesce(final_action_correct, 0) > 0 THEN 1 END) AS successes FROM (SELECT DISTINCT ON (rollout_id) * FROM rollouts) GROUP BY step")
 def stream_success(spark, d):
     """Running success counts by step, each rollout once."""
     df = runtime.table(spark, d, "rollouts").select("rollout_id", "step", "final_action_correct", "logged_at")
