@@ -141,15 +141,21 @@ class Matcher:
         known = np.isin(keys, self.keys)
         found, keys = found[known], keys[known]
         doc_of = np.searchsorted(starts, found, side="right") - 1
+        # A run with k whole pieces has at most k (3 step - 2) units, so that fewer hits than this cannot reach the share.
+        pieces: dict[tuple[int, int], set[int]] = {}
+        for doc, key in zip(doc_of.tolist(), keys.tolist()):
+            for n, start in self.bucket[key]:
+                pieces.setdefault((doc, n), set()).add(start)
+        able = {(doc, n) for (doc, n), s in pieces.items() if len(s) * (3 * ((self.items[n].least + 1) // 2) - 2) >= SHARE * self.items[n].size}
         covered: dict[tuple[int, int], np.ndarray] = {}
         reach: dict[tuple[int, int, int], int] = {}
         for p, doc, key in zip(found.tolist(), doc_of.tolist(), keys.tolist()):
             begin = p + BLOCK - self.window
-            for n, start in self.bucket.get(key, ()):
-                item = self.items[n]
+            for n, start in self.bucket[key]:
                 lane = (doc, n, begin - start)
-                if reach.get(lane, -1) >= begin:
-                    continue  # inside a run that was already compared
+                if (doc, n) not in able or reach.get(lane, -1) >= begin:
+                    continue  # too few hits, or inside a run that was already compared
+                item = self.items[n]
                 run = _run(item.code, start, codes[doc], begin - int(starts[doc]), self.window)
                 if run is None:
                     continue
