@@ -112,6 +112,7 @@ _NOVALUE = re.compile(r"(?<![a-z])(?:undefined|null|nan)(?![a-z])|(?<![a-z])none
 _XS = re.compile(r"(?<![a-z])x{2,}(?![a-z])", re.I)
 _ZEROS = re.compile(r"(?<!\d)0{3,4}-0{3,4}(?:-0{3,4})?(?!\d)")
 _PASSAGE = re.compile(r"(?<=[。！？!?\n；])|(?<=[.;])(?=\s|[^\x00-\x7f])")
+_DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+|[\ue000-\ue006]")
 
 
@@ -154,38 +155,44 @@ class Index:
                 self.postings[token].append((k, n, idf))
                 self.total[k] += n * idf
 
-    def best(self, counts: Counter) -> tuple[float, str] | None:
-        """The residue exemplar with the largest share of its weight in the window, unless a mention has as much."""
+    def best(self, counts: Counter) -> tuple[float, tuple[float, str] | None]:
+        """The largest share that a residue exemplar has of its weight in the window; and share and label of a match,
+        unless a mention has as much."""
         got: dict[int, float] = defaultdict(float)
         for token, n in counts.items():
             for k, most, idf in self.postings.get(token, ()):
                 got[k] += min(n, most) * idf
-        top, spoken = (0.0, ""), 0.0
+        top, label, spoken = 0.0, "", 0.0
         for k, weight in got.items():
             share = weight / self.total[k]
             if self.labels[k] == "mention":
                 spoken = max(spoken, share)
-            elif share > top[0]:
-                top = (share, self.labels[k])
-        return top if top[0] >= COVERAGE and top[0] > spoken else None
-
-    def score(self, text: str, memory: dict[str, tuple[float, str] | None]) -> tuple[float, str] | None:
-        """Best match over the windows of one passage or two neighbours."""
-        passages = [p for p in _PASSAGE.split(shaped(text)) if p.strip()]
-        found, before = None, None
-        for passage in passages:
-            key = re.sub(r"[\d\W]+", lambda m: " " if not m.group().strip() else re.sub(r"\d+", "", m.group()), passage)
-            counts = None
-            for window in (key, *([f"{before}\n{key}"] if before is not None else [])):
-                if window not in memory:
-                    if len(memory) >= REMEMBER:
-                        memory.clear()
-                    counts = Counter(tokens(window))
-                    memory[window] = self.best(counts)
-                hit = memory[window]
+            elif share > top:
+                top, label = share, self.labels[k]
+        return top, (top, label) if top >= COVERAGE and top > spoken else None
+
+    def score(self, text: str, memory: dict[str, tuple[float, tuple[float, str] | None]]) -> tuple[float, str] | None:
+        """Best match over the windows of one passage or two neighbours.
+
+        A window of two holds no more of an exemplar than its passages do together, so it is only looked up where their
+        largest shares add up to the bound."""
+        found, before, above = None, "", 0.0
+        for passage in _PASSAGE.split(shaped(text)):
+            key = _DIGITS.sub("", passage)
+            if not key or key.isspace():
+                continue
+            one = memory.get(key)
+            if one is None:
+                if len(memory) >= REMEMBER:
+                    memory.clear()
+                one = memory[key] = self.best(Counter(tokens(key)))
+            hits = [one[1]]
+            if before and one[0] + above >= COVERAGE:
+                hits.append(self.best(Counter(tokens(before)) + Counter(tokens(key)))[1])
+            for hit in hits:
                 if hit and (found is None or hit[0] > found[0]):
                     found = hit
-            before = key
+            before, above = key, one[0]
         return found
 
 
@@ -201,11 +208,21 @@ def residue(documents: DataFrame, exemplars: list[tuple[str, str]] | None = None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df: Counter = Counter()
+        memory: dict[str, set[str]] = {}
         docs = 0
         for batch in batches:
             docs += len(batch)
             for text in batch["text"]:
-                df.update(vocabulary.intersection(tokens(shaped(text))))
+                seen: set[str] = set()
+                for passage in _PASSAGE.split(shaped(text)):
+                    key = _DIGITS.sub("", passage)
+                    own = memory.get(key)
+                    if own is None:
+                        if len(memory) >= REMEMBER:
+                            memory.clear()
+                        own = memory[key] = vocabulary.intersection(tokens(key))
+                    seen |= own
+                df.update(seen)
         yield pd.DataFrame([("", docs), *df.items()], columns=["token", "docs"])
 
     frequencies = {r.token: r.docs for r in rows.mapInPandas(count, "token string, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).collect()}
@@ -213,7 +230,7 @@ def residue(documents: DataFrame, exemplars: list[tuple[str, str]] | None = None
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(labelled, frequencies, docs)
-        memory: dict[str, tuple[float, str] | None] = {}
+        memory: dict[str, tuple[float, tuple[float, str] | None]] = {}
         for batch in batches:
             hits = [(i, *hit[::-1]) for i, text in zip(batch["doc_id"], batch["text"]) if (hit := index.score(text, memory))]
             yield pd.DataFrame(hits, columns=["doc_id", "label", "coverage"])
