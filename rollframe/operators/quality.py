@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollframe import runtime
+
 
 def canonical_json(c) -> Column:
     """JSON with sorted keys and no white space, letters as they are; null where it is broken. Numbers are written in
@@ -62,12 +64,19 @@ def broken_paths(rows: DataFrame, path: str, last: Column) -> DataFrame:
 def digest(rows: DataFrame, order: list[str], line: Column, part_rows: int = 100_000) -> DataFrame:
     """One row: rows, digest. SHA-256 over the SHA-256 of each part of lines, parts and lines in order.
 
-    Parts are cut by the rank of the order key over a range sort, so that no task holds more than a part."""
+    A part holds the lines of part_rows ranks in a row, so that parts depend on the data only and no task holds more than
+    a part. A line's rank is its place in its range of a range sort and the number of lines in the ranges before; lines
+    of one key are in the order of their own hashes. The sort is written, because the bounds of its ranges are sampled."""
+    keys = [*order, "_h"]
     numbered = rows.select(*order, F.sha2(line, 256).alias("_h")).where(F.col("_h").isNotNull())
-    n = numbered.count()
-    parts = max(1, -(-n // part_rows))
-    placed = numbered.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    each = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_h"))), lambda x: x["_h"]), "\n"), 256).alias("_d"))
+    parts = max(1, -(-numbered.count() // part_rows))
+    at = F.monotonically_increasing_id()  # range in the upper bits, place in the range in the lower 33
+    ranged = runtime.written(numbered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", at), "ranged")
+    ranged = ranged.select(*keys, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = ranged.join(F.broadcast(starts), "_range").withColumn("_p", F.floor((F.col("_start") + F.col("_place")) / part_rows))
+    each = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys))), lambda x: x["_h"]), "\n"), 256).alias("_d"))
     return each.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), "\n"), 256).alias("digest"))
 
 

@@ -92,7 +92,7 @@ def fingerprint_sha256(spark, d):
 
 @query(r"""WITH x AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL) SELECT count(*) AS rows, sha256(sha256(string_agg(h, chr(10) ORDER BY doc_id))) AS digest FROM x""")
 def dataset_digest(spark, d):
-    """At these sizes there is one part, whose digest is digested again."""
+    """Up to 100,000 rows, which the SQL is for, there is one part, whose digest is digested again."""
     return q.digest(runtime.table(spark, d, "documents").where("text IS NOT NULL"), ["doc_id"], F.col("text"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -118,6 +119,17 @@ def test_digest_follows_order_and_content(spark):
     assert one == d([(2, "b"), (1, "a")]) and one.digest != d([(1, "b"), (2, "a")]).digest and d([]).rows == 0
 
 
+def test_digest_parts_are_ranks(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(i // 3 if i % 50 else None, f"t{i * 7 % 1000}") for i in range(1000)]
+    ordered = [h for _, _, h in sorted((i is not None, i or 0, sha(t)) for i, t in rows)]
+    for part_rows in (64, 333, 1000, 5000):
+        expected = sha("\n".join(sha("\n".join(ordered[at : at + part_rows])) for at in range(0, 1000, part_rows)))
+        for slices in (1, 5):
+            df = spark.createDataFrame(spark.sparkContext.parallelize(rows[::slices] + [r for k in range(1, slices) for r in rows[k::slices]], slices), "i int, t string")
+            assert tuple(q.digest(df, ["i"], F.col("t"), part_rows).first()) == (1000, expected)
+
+
 def test_curriculum(spark):
     rows = spark.createDataFrame([("low" if i < 4 else "high", f"k{i}", "x") for i in range(8)], "s string, id string, n string")
     strata = cu.multipliers(spark.createDataFrame([("low", 4, 0.0), ("high", 4, 1.0)], "s string, n int, v double"), F.col("v"))
