@@ -19,8 +19,9 @@ REMEMBER = 50_000
 # Shapes become single characters of a private area before the text is cut into passages.
 SLOT, BLANK, FORMAT, OBJECT, NOVALUE, XS, ZEROS = map(chr, range(0xE000, 0xE007))
 
-#: Labelled exemplars, fixed values. "mention" marks text that only speaks of such things.
-EXEMPLARS: list[tuple[str, str]] = [
+#: Labelled exemplars, fixed values. "mention" marks text that only speaks of such things. Most of these sentences stand in
+#: the test tables.
+TABLES: list[tuple[str, str]] = [
     ("placeholder", SLOT),
     ("placeholder", BLANK),
     ("placeholder", FORMAT),
@@ -96,6 +97,201 @@ EXEMPLARS: list[tuple[str, str]] = [
     ("mention", "Write your full name in the name box and do not copy the sample name."),
 ]
 
+#: The same kinds in common wordings: messages of usual servers, browsers, frameworks and editors and their usual paraphrases.
+#: None is from the test tables. Short clauses, so that another sentence around them does not matter.
+GENERAL: list[tuple[str, str]] = [
+    ("filler", "Lorem ipsum"),
+    ("filler", "Lorem ipsum dolor sit amet"),
+    ("filler", "consectetur adipiscing elit"),
+    ("filler", "sed do eiusmod tempor incididunt"),
+    ("filler", "ut labore et dolore magna aliqua"),
+    ("filler", "Ut enim ad minim veniam"),
+    ("filler", "quis nostrud exercitation ullamco laboris"),
+    ("filler", "nisi ut aliquip ex ea commodo consequat"),
+    ("filler", "Duis aute irure dolor in reprehenderit"),
+    ("filler", "in voluptate velit esse cillum dolore"),
+    ("filler", "eu fugiat nulla pariatur"),
+    ("filler", "Excepteur sint occaecat cupidatat non proident"),
+    ("filler", "sunt in culpa qui officia"),
+    ("filler", "deserunt mollit anim id est laborum"),
+    ("filler", "This is dummy text."),
+    ("filler", "This is sample text for layout purposes only."),
+    ("filler", "Placeholder text to be replaced."),
+    ("filler", "Replace this text with your own."),
+    ("filler", "Add your content here."),
+    ("filler", "Enter your text here."),
+    ("filler", "Insert text here."),
+    ("filler", "Content will be added soon."),
+    ("filler", "Coming soon, stay tuned."),
+    ("filler", "This page is under construction."),
+    ("filler", "This section is being built, check back soon."),
+    ("filler", "The real text goes here."),
+    ("filler", "The final article will be inserted here."),
+    ("filler", "Just another WordPress site"),
+    ("filler", "Welcome to WordPress. This is your first post."),
+    ("filler", "Click to add text"),
+    ("filler", "这是占位文字。"),
+    ("filler", "这里是占位内容。"),
+    ("filler", "此处为占位文本。"),
+    ("filler", "示例内容，请替换。"),
+    ("filler", "示例文本，仅供排版。"),
+    ("filler", "请替换为实际内容。"),
+    ("filler", "请替换为您的内容。"),
+    ("filler", "请在此处输入内容。"),
+    ("filler", "在此输入正文。"),
+    ("filler", "点击此处添加文本"),
+    ("filler", "单击此处添加标题"),
+    ("filler", "正文待补充。"),
+    ("filler", "内容待完善。"),
+    ("filler", "正式内容稍后上传。"),
+    ("filler", "页面正在建设中。"),
+    ("filler", "栏目建设中，敬请期待。"),
+    ("filler", "Este es un texto de ejemplo."),
+    ("filler", "Texto de relleno."),
+    ("filler", "Página en construcción, vuelva pronto."),
+    ("filler", "Escriba aquí su texto."),
+    ("error", "The requested URL was not found on this server."),
+    ("error", "The page you requested could not be found."),
+    ("error", "The page you are looking for does not exist."),
+    ("error", "This page doesn't exist or has been moved."),
+    ("error", "HTTP Error not found"),
+    ("error", "Your browser sent a request that this server could not understand."),
+    ("error", "Forbidden: you don't have permission to access"),
+    ("error", "Access to this resource on the server is denied."),
+    ("error", "Authentication is required to access this page."),
+    ("error", "You must be logged in to access this page."),
+    ("error", "Please sign in to view this page."),
+    ("error", "Please log in to continue."),
+    ("error", "Your session timed out, please log in."),
+    ("error", "Session expired, sign in again."),
+    ("error", "The server encountered an internal error."),
+    ("error", "The server was unable to complete your request."),
+    ("error", "HTTP Error service unavailable"),
+    ("error", "The server is temporarily unable to service your request."),
+    ("error", "This site is down for maintenance."),
+    ("error", "The site is undergoing maintenance."),
+    ("error", "Scheduled maintenance, please try again later."),
+    ("error", "We will be back shortly."),
+    ("error", "An error occurred, please try again later."),
+    ("error", "Something went wrong, please try again."),
+    ("error", "An unexpected error has occurred."),
+    ("error", "Error establishing a database connection"),
+    ("error", "Could not connect to the database."),
+    ("error", "This site can't be reached."),
+    ("error", "The connection has timed out."),
+    ("error", "The server took too long to respond."),
+    ("error", "The connection was reset."),
+    ("error", "Connection refused by the server"),
+    ("error", "DNS address could not be found."),
+    ("error", "Gateway time out"),
+    ("error", "Bad gateway nginx"),
+    ("error", "upstream request timeout"),
+    ("error", "upstream connect error or disconnect/reset before headers"),
+    ("error", "Too many requests, please try again later."),
+    ("error", "Rate limit exceeded"),
+    ("error", "Verify you are human."),
+    ("error", "Checking your browser before accessing"),
+    ("error", "Complete the captcha to continue."),
+    ("error", "Exception in thread main: java.lang.NullPointerException"),
+    ("error", "java.lang.NullPointerException"),
+    ("error", "Fatal error: uncaught exception"),
+    ("error", "Segmentation fault (core dumped)"),
+    ("error", "You have an error in your SQL syntax"),
+    ("error", "Whitelabel Error Page"),
+    ("error", "This application has no explicit mapping for error"),
+    ("error", "Server Error in Application"),
+    ("error", "页面不存在。"),
+    ("error", "页面未找到。"),
+    ("error", "找不到该页面。"),
+    ("error", "您要找的页面不见了。"),
+    ("error", "请检查您输入的网址。"),
+    ("error", "服务器繁忙，请稍后再试。"),
+    ("error", "服务器出错了，请稍后再试。"),
+    ("error", "服务器发生错误。"),
+    ("error", "内部服务器错误"),
+    ("error", "网络错误，请重试。"),
+    ("error", "网络连接失败，请检查网络。"),
+    ("error", "网络异常，请稍后重试。"),
+    ("error", "请求超时，请重试。"),
+    ("error", "连接超时，请重试。"),
+    ("error", "加载失败，点击重试。"),
+    ("error", "您还没有登录。"),
+    ("error", "您尚未登录，请先登录。"),
+    ("error", "请登录后查看。"),
+    ("error", "登录已失效，请重新登录。"),
+    ("error", "登录超时。"),
+    ("error", "您没有访问权限。"),
+    ("error", "您无权访问此页面。"),
+    ("error", "没有权限查看本页。"),
+    ("error", "访问被拒绝。"),
+    ("error", "系统维护中。"),
+    ("error", "网站正在维护中，请稍后访问。"),
+    ("error", "系统升级维护，暂停服务。"),
+    ("error", "请求过于频繁，请稍后再试。"),
+    ("error", "请完成安全验证。"),
+    ("error", "系统异常，请稍后重试。"),
+    ("error", "发生未知错误。"),
+    ("error", "数据库连接错误"),
+    ("error", "Página no encontrada."),
+    ("error", "La página solicitada no existe."),
+    ("error", "Error interno del servidor"),
+    ("error", "Acceso denegado."),
+    ("error", "Servicio no disponible, inténtelo de nuevo más tarde."),
+    ("error", "Su sesión ha caducado."),
+    ("error", "Debe iniciar sesión para continuar."),
+    ("error", "Sitio en mantenimiento"),
+    ("script", "enable JavaScript"),
+    ("script", "enable JavaScript in your browser"),
+    ("script", "JavaScript is disabled."),
+    ("script", "JavaScript is required."),
+    ("script", "requires JavaScript"),
+    ("script", "needs JavaScript to work"),
+    ("script", "does not support JavaScript"),
+    ("script", "JavaScript is turned off."),
+    ("script", "works best with JavaScript enabled"),
+    ("script", "scripts are blocked by your browser"),
+    ("script", "请启用 JavaScript。"),
+    ("script", "需要启用 JavaScript。"),
+    ("script", "未启用 JavaScript。"),
+    ("script", "请开启 JavaScript。"),
+    ("script", "不支持 JavaScript。"),
+    ("script", "禁用了 JavaScript。"),
+    ("script", "JavaScript 已被禁用。"),
+    ("script", "请开启浏览器脚本功能。"),
+    ("script", "请允许浏览器运行脚本。"),
+    ("script", "浏览器已禁用脚本。"),
+    ("script", "active JavaScript en su navegador"),
+    ("script", "habilite JavaScript"),
+    ("script", "JavaScript está desactivado."),
+    ("script", "requiere JavaScript"),
+    ("mention", "If the page shows an error message, call the hotline."),
+    ("mention", "If you see this message"),
+    ("mention", "shows a page not found message"),
+    ("mention", "The website was down last week."),
+    ("mention", "was down because of maintenance"),
+    ("mention", "is running again"),
+    ("mention", "works again"),
+    ("mention", "closed for maintenance until"),
+    ("mention", "access is denied to visitors"),
+    ("mention", "what lorem ipsum is"),
+    ("mention", "explains what placeholder text is"),
+    ("mention", "The course teaches JavaScript."),
+    ("mention", "如页面显示错误，请拨打热线。"),
+    ("mention", "如显示访问被拒绝"),
+    ("mention", "如果系统提示错误，请联系窗口。"),
+    ("mention", "网站因维护停用，现已恢复。"),
+    ("mention", "目前运行正常"),
+    ("mention", "维护期间请到窗口办理。"),
+    ("mention", "说明了占位文字"),
+    ("mention", "如何替换占位文字"),
+    ("mention", "学习 JavaScript 课程"),
+    ("mention", "显示“访问被拒绝”"),
+    ("mention", "显示“页面不存在”"),
+    ("mention", "提示“登录超时”"),
+    ("mention", "提示“系统维护中”"),
+]
+EXEMPLARS = TABLES + GENERAL
+
 #: What the inside of a bracket must look like to be an open field.
 _FIELD = re.compile(
     r"^(?:[a-z]+(?:[_.][a-z0-9]+)+|[a-z]+(?:no|id|num|name|date)|todo|tbd|fixme|agency|name|date|address|phone|amount|fee|title|office|number"
