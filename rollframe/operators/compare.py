@@ -68,6 +68,11 @@ def normal_interval(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.avg("delta").alias("delta"), (F.avg("delta") - Z_95 * se).alias("ci_low"), (F.avg("delta") + Z_95 * se).alias("ci_high"), F.count("delta").alias("pairs"))
 
 
+def bootstrap_interval(pairs: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The mean paired difference with the bootstrap's interval, for verdicts; by must not be null."""
+    return pairs.groupBy(*by).agg(F.avg("delta").alias("delta")).join(bootstrap(pairs, by, order), by)
+
+
 def with_fallback(measured: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     """Measured rows first; a metric that only the summary has comes from there and is unquantified."""
     m, s = measured.alias("m"), summary.alias("s")

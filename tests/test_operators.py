@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from rollframe.operators import dialogue as dl
 from rollframe.operators import metrics as m
 from rollframe.operators import quality as q
 from rollframe.operators import sequences as sq
+from rollframe.plans import comparison
 from rollframe.sources import files
+from rollframe.streaming import episodes as ep
 
 ROLLOUT = "rollout_id long, case_id string, scenario_type string, environment_reward double, final_action_correct double, hard_gate double, process_compliant double, required_tool_rate double, output string"
 
@@ -223,3 +226,13 @@ def test_salted_join(spark):
     small = spark.createDataFrame([("hot", 1)], "k string, v int")
     got = runtime.join_salted(big, small, ["k"], "left", F.xxhash64("id"), 4)
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, big.join(small, "k", "left").select("id", "k", "v").collect()))
+
+
+def test_verdicts_come_from_the_bootstrap(spark, monkeypatch):
+    rows = [("process", f"c{i}", v) for i, v in enumerate([0.1, 0.1, 1.0])] + [("final", f"c{i}", v) for i, v in enumerate([-0.5, 0.5, 0.25])] + [("one", "c0", 1.0)]
+    pairs = spark.createDataFrame(rows, "metric string, case_id string, delta double")
+    monkeypatch.setattr(comparison, "_pairs", lambda *_: pairs)
+    got = {r.metric: (round(r.delta, 9), r.verdict) for r in comparison._verdicts(spark, "").collect()}
+    # mean +- 1.96 standard errors of process holds 0, the resamples are all above it
+    assert got == {"process": (0.4, "improved"), "final": (0.083333333, "inconclusive"), "one": (1.0, "unquantified")}
+    assert comparison.promotion_decision(spark, "").first().decision == "promote"
