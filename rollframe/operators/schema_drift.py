@@ -13,12 +13,6 @@ PRESENT = 0.5
 #: A removed and an added field of one type are one renamed field from this likeness of their values on.
 ALIKE = 0.3
 
-#: The fields of the rollout table that the unified table has, with their types.
-ROLLOUT_FIELDS = {
-    "step": "bigint", "case_id": "string", "case_fingerprint": "string", "scenario_type": "string", "environment_reward": "double", "process_compliant": "double",
-    "required_tool_rate": "double", "final_action_correct": "double", "hard_gate": "double", "rounds": "double",
-}
-
 
 def _type(v: Column) -> Column:
     raw = F.schema_of_variant(v)
@@ -151,9 +145,10 @@ def typed_values(values: DataFrame, names: DataFrame, types: dict[str, str]) ->
     """(run_id, file_seq, line_no, field, type, value, cast): the values of known fields, cast to the field's type.
 
     Text fields: strings as they are, the parts of an array joined, the longest string of an object. Number fields:
-    numbers, texts of numbers and of percentages, true/yes = 1, false/no = 0, an array of two numbers as part and whole. Anything else
-    gives null, which `failed_casts` reports."""
-    text_fields = [f for f, t in types.items() if t == "string"]
+    numbers, texts of numbers and of percentages, true/yes = 1, false/no = 0, an array of two numbers as part and whole; whole numbers
+    keep all their digits in bigint fields. Time fields: texts that can be cast. Anything else gives null, which
+    `failed_casts` reports."""
+    of = lambda *kinds: F.col("field").isin([f for f, kind in types.items() if kind in kinds])
     rows = values.join(F.broadcast(names), "path")  # one row per field name
     v, t = F.col("value"), F.col("type")
     strings = F.map_values(F.from_json(F.when(t == "object", v), "map<string,string>"))
@@ -169,7 +164,9 @@ def typed_values(values: DataFrame, names: DataFrame, types: dict[str, str]) ->
         .when(t == "string", v.try_cast("double"))
         .when((t == "array") & (F.size(pair) == 2), F.try_divide(F.try_element_at(pair, F.lit(1)), F.try_element_at(pair, F.lit(2))))
     )
-    cast = F.when(F.col("field").isin(text_fields), as_text).otherwise(as_number.cast("string"))
+    whole = F.when(of("bigint") & t.isin("number", "string"), v.try_cast("bigint"))
+    as_time = F.when((t == "string") & v.try_cast("timestamp").isNotNull(), v)
+    cast = F.when(of("string"), as_text).when(of("timestamp", "timestamp_ntz"), as_time).otherwise(F.coalesce(whole.cast("string"), as_number.cast("string")))
     return rows.where(t != "null").select(*FILE, "line_no", "field", "path", "type", "value", cast.alias("cast"))
 
 
@@ -177,7 +174,7 @@ def unified(lines: DataFrame, values: DataFrame, types: dict[str, str]) -> DataF
     """One row per readable line with all fields of types; missing and uncastable values are null."""
     keys = [*FILE, "line_no"]
     wide = values.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.min(F.when(F.col("field") == f, F.col("cast"))).alias(f) for f in types])
-    cols = [F.col(f).try_cast("double").cast("bigint").alias(f) if t == "bigint" else F.col(f).try_cast(t).alias(f) for f, t in types.items()]
+    cols = [F.coalesce(F.col(f).try_cast("bigint"), F.col(f).try_cast("double").try_cast("bigint")).alias(f) if t == "bigint" else F.col(f).try_cast(t).alias(f) for f, t in types.items()]
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return lines.select(*keys).join(wide, same[0] & same[1] & same[2], "left").select(*keys, *cols)
 

@@ -13,16 +13,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sd.drift(runtime.table(spark, sf_dir, "raw_rollouts"))
 
 
+def _fields(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The columns of the rollouts with their types, but run_id, which every row has from its file."""
+    return {f: t for f, t in runtime.table(spark, sf_dir, "rollouts").dtypes if f not in sd.FILE}
+
+
 def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     raw = runtime.table(spark, sf_dir, "raw_rollouts")
     lines = runtime.written(sd.readable(raw), "lines")
-    names = runtime.cut(sd.aliases(sd.drift(raw), list(sd.ROLLOUT_FIELDS)))
-    return lines, runtime.written(sd.typed_values(sd.path_values(lines), names, sd.ROLLOUT_FIELDS), "typed")
+    fields = _fields(spark, sf_dir)
+    names = runtime.cut(sd.aliases(sd.drift(raw), list(fields)))
+    return lines, runtime.written(sd.typed_values(sd.path_values(lines), names, fields), "typed")
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all files as one table with the fields of the rollouts."""
-    return sd.unified(*_typed(spark, sf_dir), sd.ROLLOUT_FIELDS)
+    return sd.unified(*_typed(spark, sf_dir), _fields(spark, sf_dir))
 
 
 def p4_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:

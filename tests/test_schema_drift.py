@@ -1,6 +1,7 @@
 import json
 
 from rollframe.operators import schema_drift as sd
+from rollframe.plans import drift
 
 SCHEMA = "run_id string, file_seq int, line_no int, payload string, path string"
 
@@ -70,3 +71,15 @@ def test_typed_table_and_failed_casts(spark):
     assert got[3, 3] == (15, HEX[2], 0.75, 0.0) and got[4, 1] == (None, HEX[0], None, None)
     failed = {(r.file_seq, r.path, r.failed) for r in sd.failed_casts(values).collect()}
     assert failed == {(4, "step", 3), (4, "requiredToolRate", 3)}
+
+
+def test_table_has_every_field_of_the_rollouts(spark, tmp_path):
+    files = [(1, [{"step": 5, "rollout_id": 2**60 + 1, "reward": 0.25, "logged_at": "2026-01-02 03:04:05", "judge_clarity": "3"}] * 2), (2, [{"step": 6, "reward": "high", "logged_at": "soon"}] * 2)]
+    raw(spark, files).write.parquet(f"{tmp_path}/raw_rollouts.parquet")
+    rollouts = spark.createDataFrame([], "rollout_id long, run_id string, step long, reward double, judge_clarity double, logged_at timestamp_ntz")
+    rollouts.write.parquet(f"{tmp_path}/rollouts.parquet")
+    table = drift.p4_table(spark, str(tmp_path))
+    assert set(rollouts.dtypes) <= set(table.dtypes) and len(table.columns) == len(set(table.columns))
+    got = {(r.file_seq, r.step, r.rollout_id, r.reward, r.judge_clarity, str(r.logged_at)) for r in table.collect()}
+    assert got == {(1, 5, 2**60 + 1, 0.25, 3.0, "2026-01-02 03:04:05"), (2, 6, None, None, None, "None")}
+    assert {(r.field, r.failed) for r in drift.p4_failed_casts(spark, str(tmp_path)).collect()} == {("reward", 2), ("logged_at", 2)}
