@@ -41,9 +41,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per scenario over all runs, with the number of values and the bound on the rank error."""
-    whole = quantiles.merge(_slices(spark, sf_dir), ["scenario_type"])
-    return quantiles.percentiles(whole, {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}).withColumnRenamed("error", "rank_error_bound")
+    """Percentiles per scenario over all runs (run_id null) and of each run, with the number of values and the bound on the
+    rank error. Values without run_id count over all runs only."""
+    slices = _slices(spark, sf_dir)
+    points = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+    whole = quantiles.percentiles(quantiles.merge(slices, ["scenario_type"]), points).withColumn("run_id", F.lit(None).cast("string"))
+    per_run = quantiles.percentiles(slices.where(F.col("run_id").isNotNull()), points)
+    return whole.unionByName(per_run).withColumnRenamed("error", "rank_error_bound")
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ledger.Ledger, int]:
