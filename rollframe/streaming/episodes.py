@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "user_id long, attempts int, trailing int, repeated int, final string"
-_STATE = "attempts int, trailing int, repeated int, final string, seen array<string>, ids array<long>"
+_STATE = "attempts int, trailing int, repeated int, final string, seen array<string>"
 
 
 class Episode(StatefulProcessor):
@@ -19,26 +19,30 @@ class Episode(StatefulProcessor):
 
     The same rule as the batch fold. After the terminal action the state stays as a small tombstone that goes on counting
     trailing actions. A `release` action ends the state of an episode that is done, and is not counted; one that is not
-    done keeps its state. Ids of the last events are kept, so that a repeated delivery is counted once."""
+    done keeps its state. The ids of all events are kept until then, in a map of the state store, so that a repeated delivery
+    is counted once, however late."""
 
-    def __init__(self, terminal: list[str], horizon: int, release: str, ids: int = 64):
-        self.terminal, self.horizon, self.release, self.ids = set(terminal), horizon, release, ids
+    def __init__(self, terminal: list[str], horizon: int, release: str):
+        self.terminal, self.horizon, self.release = set(terminal), horizon, release
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("episode", _STATE)
+        self.ids = handle.getMapState("ids", "event_id long", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        attempts, trailing, repeated, final, seen, ids = self.state.get() if self.state.exists() else (0, 0, 0, None, [], [])
-        seen, ids = list(seen), list(ids)
+        attempts, trailing, repeated, final, seen = self.state.get() if self.state.exists() else (0, 0, 0, None, [])
+        seen = list(seen)
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         released = False
         for event_id, action in zip(events["event_id"].tolist(), events["event_type"].tolist()):
-            if event_id in ids:
+            known = not pd.isna(event_id)  # an event without id is none of the others
+            if known and self.ids.containsKey((int(event_id),)):
                 continue
             if action == self.release:
                 released = True
                 continue
-            ids = [*ids, event_id][-self.ids :]
+            if known:
+                self.ids.updateValue((int(event_id),), (True,))
             if final is not None:
                 trailing += 1
             elif attempts >= self.horizon:
@@ -52,8 +56,9 @@ class Episode(StatefulProcessor):
                     final = action
         if released and final is not None:
             self.state.clear()
+            self.ids.clear()
         else:
-            self.state.update((attempts, trailing, repeated, final, seen, ids))
+            self.state.update((attempts, trailing, repeated, final, seen))
         yield pd.DataFrame([(key[0], attempts, trailing, repeated, final)], columns=["user_id", "attempts", "trailing", "repeated", "final"]).astype({"attempts": "int32", "trailing": "int32", "repeated": "int32"})
 
     def close(self) -> None:

@@ -236,3 +236,27 @@ def test_verdicts_come_from_the_bootstrap(spark, monkeypatch):
     # mean +- 1.96 standard errors of process holds 0, the resamples are all above it
     assert got == {"process": (0.4, "improved"), "final": (0.083333333, "inconclusive"), "one": (1.0, "unquantified")}
     assert comparison.promotion_decision(spark, "").first().decision == "promote"
+
+
+def test_repeated_event_counts_once_however_late(spark, tmp_path):
+    event = "event_id long, ts timestamp, user_id long, event_type string"
+    at = datetime(2026, 1, 1)
+    first = [(i, at + timedelta(minutes=i), 1, f"a{i}") for i in range(100)]
+    late = [(0, at, 1, "a0"), (99, at + timedelta(minutes=99), 1, "a99"), (100, at + timedelta(hours=3), 1, "a5"), (100, at + timedelta(hours=3), 1, "a5")]
+    for n, rows in enumerate((first, late)):
+        spark.createDataFrame(rows, event).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{n}")
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rocks)
+    try:
+        for n in (0, 1):  # one batch each, over one checkpoint
+            (tmp_path / "in").mkdir(exist_ok=True)
+            for f in (tmp_path / str(n)).glob("*.parquet"):
+                f.rename(tmp_path / "in" / f"{n}-{f.name}")
+            updates = ep.episodes(ep.file_stream(spark, str(tmp_path / "in"), event), ["end"], 1000)
+            q_ = updates.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out")).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            q_.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = ep.latest_update(spark.read.parquet(f"{tmp_path}/out")).first()
+    assert (got.attempts, got.trailing, got.repeated) == (101, 0, 1)
