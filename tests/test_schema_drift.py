@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from rollframe.operators import schema_drift as sd
 from rollframe.plans import drift
 
@@ -37,6 +40,29 @@ def test_unlike_values_are_no_rename(spark):
     assert [c for c in found(raw(spark, files)) if c[1] == "renamed"] == []
 
 
+@pytest.mark.parametrize("lines", [8, 40, 2000, 100_000])
+def test_renames_at_every_size(spark, lines):
+    """A file's length must not decide: fields of other values are no renames, fields of like values are."""
+    i = F.col("id")
+    hexed = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 256)
+    colour = F.element_at(F.array(*map(F.lit, ["red", "green", "blue", "amber", "violet"])), (i % 5 + 1).cast("int"))
+    rate = lambda salt: F.pmod(F.xxhash64(F.lit(salt), i), F.lit(4)) / 4.0
+    reward = lambda salt: F.round(F.pmod(F.xxhash64(F.lit(salt), i), F.lit(9999)) / 10000.0, 4)
+    first = F.struct(colour.alias("colour"), hexed("a").alias("fp"), rate("a").alias("rate"), reward("a").alias("reward"), (i % 7).alias("kept"), hexed("z").alias("note"))
+    uuid = F.regexp_replace(hexed("u"), r"^(.{8})(.{4})(.{4})(.{4})(.{12}).*", "$1-$2-$3-$4-$5")
+    second = F.struct(uuid.alias("uuid"), hexed("b").alias("digest"), rate("b").alias("share"), reward("b").alias("total"), (i % 7).alias("kept"), hexed("y").alias("note"))
+    third = F.struct(uuid.alias("uuid"), hexed("c").alias("digest"), (i % 2).cast("double").alias("flag"), (200 + i % 90).alias("millis"), (i % 7).alias("kept"), hexed("x").alias("note"))
+    of = lambda seq, what: spark.range(lines).select(F.lit("r").alias("run_id"), F.lit(seq).alias("file_seq"), i.cast("int").alias("line_no"), F.to_json(what).alias("payload"))
+    got = found(of(1, first).unionByName(of(2, second)).unionByName(of(3, third)))
+    assert [c for c in got if c[0] == 2] == [(2, "added", "uuid", ""), (2, "removed", "colour", ""), (2, "renamed", "fp", "digest"), (2, "renamed", "rate", "share"), (2, "renamed", "reward", "total")]
+    assert [c for c in got if c[0] == 3] == [(3, "added", "flag", ""), (3, "added", "millis", ""), (3, "removed", "share", ""), (3, "removed", "total", "")]
+
+
+def test_two_equal_matches_are_no_rename(spark):
+    files = [(1, [{"a": f"{i:064x}", "k": 1} for i in range(40)]), (2, [{"xx": f"{i:064x}", "yy": f"{i + 7:064x}", "k": 1} for i in range(900, 940)])]
+    assert [c for c in found(raw(spark, files)) if c[1] == "renamed"] == []
+
+
 def test_broken_repeated_and_sparse_lines(spark):
     files = [(1, [{"a": 1, "b": 2}, {"a": 1}, {"a": 1}, '{"a"', "", None, "[1]", '"x"']), (2, [{"a": 1, "b": 2}, {"a": 1, "b": None}, {"a": "odd"}])]
     df = raw(spark, files)
@@ -69,6 +95,9 @@ def test_typed_table_and_failed_casts(spark):
     got = {(r.file_seq, r.line_no): (r.step, r.case_fingerprint, r.required_tool_rate, r.process_compliant) for r in sd.unified(lines, values, types).collect()}
     assert got[1, 1] == (5, HEX[0], 0.5, 1.0) and got[2, 2] == (10, HEX[1], 0.25, 1.0)
     assert got[3, 3] == (15, HEX[2], 0.75, 0.0) and got[4, 1] == (None, HEX[0], None, None)
+    assert {(r.file_seq, r.how) for r in sd.loose_casts(values).collect()} == {(2, "part_of_whole"), (2, "yes_no"), (3, "longest_text"), (3, "percent"), (3, "yes_no"), (4, "joined_items")}
+    plain = sd.typed_values(sd.path_values(lines), sd.aliases(sd.drift(df), list(types)), types, loose=())
+    assert {r.path for r in sd.failed_casts(plain).where("file_seq = 2").collect()} == {"required_tool_rate", "process_compliant"}
     failed = {(r.file_seq, r.path, r.failed) for r in sd.failed_casts(values).collect()}
     assert failed == {(4, "step", 3), (4, "requiredToolRate", 3)}
 
