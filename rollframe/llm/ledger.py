@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import json
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from rollframe import runtime
 from rollframe.functions import text
 
-BUCKETS = 16
+#: Buckets of a new ledger, keys in a bucket up to which it stays, and deltas that a bucket may have.
+BUCKETS, BUCKET_ROWS, DELTAS = 16, 2_000_000, 4
+COUNTS = "key binary, copies long, first_id long"
 
 _BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
 _ESCAPE = r"\\(u[0-9a-f]{4}|.)"
@@ -39,88 +43,130 @@ def key_of(*parts: Column) -> Column:
 
 
 class Ledger:
-    """Counts of canonical keys, kept in BUCKETS buckets in the shared folder and updated batch by batch.
+    """Counts of canonical keys, kept in buckets in a shared folder and updated batch by batch.
 
-    A batch is aggregated first, then full-outer-joined with the buckets it touches; only these are written again,
-    beside the old ones. The manifest, written last, names the current file set of each bucket, so that a broken update
-    changes nothing. Ids already counted (repeated deliveries, within a batch or in an earlier one) are left out by the
-    same kind of buckets."""
+    A batch is aggregated and laid beside the buckets it touches as a delta. A bucket with more than `deltas` of them is
+    brought up to date by a full outer join of its counts with its deltas: counts add up and the earliest id stays. Ids
+    already counted (repeated deliveries, within a batch or in an earlier one) are left out; they are kept in order, so that
+    a look at a batch's range of ids skips the files outside it. Buckets double where they grow beyond `bucket_rows` keys.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    Everything a batch writes is new. A manifest with the next number, written aside and renamed, then makes it count; what
+    is in memory changes after that only. So a batch that fails anywhere has not happened and can be given again, and of
+    two writers of one ledger the second fails. Files of neither this manifest nor the one before are deleted. With a `root`
+    the ledger outlives the session: rows given to it again change nothing."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS, deltas: int = DELTAS):
+        self.spark, self.bucket_rows, self.deltas = spark, bucket_rows, deltas
         self.root = root or runtime.Scratch(spark, "ledger").path
-        self.manifest: dict[str, dict[str, list[str]]] = {"counts": {}, "seen": {}}
-        stored = self._load()
-        if stored:
-            self.manifest = stored
+        self.manifest = self._load() or {"version": 0, "buckets": buckets, "counts": {}, "seen": []}
 
     # the manifest is a few paths for each bucket
-    def _path(self):
+    def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json")
+        p = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _load(self) -> dict | None:
-        _, p, fs = self._path()
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
+    def _names(self) -> list[str]:
+        _, p, fs = self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _read_manifest(self, name: str) -> dict:
+        jvm, p, fs = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, name))
         try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _commit(self) -> None:
-        jvm, p, fs = self._path()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.{uuid.uuid4().hex}")
+    def _load(self) -> dict | None:
+        named = sorted(n for n in self._names() if n.startswith("manifest-") and n.endswith(".json"))
+        return self._read_manifest(named[-1]) if named else None
+
+    def _commit(self, manifest: dict) -> None:
+        jvm, p, fs = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        new, final = path(p, f"new-{uuid.uuid4().hex}"), path(p, f"manifest-{manifest['version']:010d}.json")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps(self.manifest), "utf-8"))
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(new, p)
-
-    def _bucket(self, c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
-
-    def _read(self, kind: str, touched: list[int], schema: str) -> DataFrame:
-        paths = [p for b in touched for p in self.manifest[kind].get(str(b), [])]
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(new, final, none)  # fails where another writer has taken this number
+        before, self.manifest = self.manifest, manifest
+        keep = {f"manifest-{m['version']:010d}.json" for m in (before, manifest)}
+        keep |= {x[len(self.root) :].strip("/").split("/")[0] for m in (before, manifest) for x in [*m["seen"], *[y for paths in m["counts"].values() for y in paths]]}
+        for name in self._names():
+            if name not in keep:
+                fs.delete(path(p, name), True)
+
+    def _bucket(self, c: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, df: DataFrame, kind: str) -> dict[str, str]:
-        path = f"{self.root}/{kind}-{uuid.uuid4().hex}"
-        df.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
-        found = [r.bucket for r in self.spark.read.parquet(path).select("bucket").distinct().collect()]  # at most BUCKETS
-        return {str(b): f"{path}/bucket={b}" for b in found}
+    def _write(self, counted: DataFrame, buckets: int) -> dict[str, str]:
+        """Writes counts in folders by bucket; returns the folders."""
+        path = f"{self.root}/counts-{uuid.uuid4().hex}"
+        counted.withColumn("bucket", self._bucket(F.col("key"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        jvm, _, fs = self._fs()
+        found = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path))]
+        return {n.removeprefix("bucket="): f"{path}/{n}" for n in found if n.startswith("bucket=")}
+
+    def _merged(self, manifest: dict, buckets: list[str]) -> DataFrame:
+        """The counts of buckets: those laid down joined with their deltas, which are added up first."""
+        base = self._read([manifest["counts"][b][0] for b in buckets], COUNTS)
+        late = [p for b in buckets for p in manifest["counts"][b][1:]]
+        if not late:
+            return base
+        deltas = self._read(late, COUNTS).groupBy("key").agg(F.sum("copies").alias("more"), F.min("first_id").alias("first_new"))
+        both = base.join(deltas, "key", "full_outer")
+        return both.select("key", (F.coalesce("copies", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("copies"), F.least("first_id", "first_new").alias("first_id"))
 
     def update(self, batch: DataFrame) -> None:
         """batch: (id long, key binary). Null ids and null keys are left out; an empty batch changes nothing."""
-        rows = batch.select("id", "key").where(F.col("id").isNotNull() & F.col("key").isNotNull()).distinct()
-        rows = rows.withColumn("bucket", self._bucket(F.col("id")))
-        if self.manifest["seen"]:
-            rows = rows.join(self._read("seen", list(range(self.buckets)), "id long"), "id", "left_anti")
-        rows = runtime.written(rows, "batch")
+        rows = batch.select("id", "key").where(F.col("id").isNotNull() & F.col("key").isNotNull())
+        new = copy.deepcopy(self.manifest)
+        rows = rows.groupBy("id").agg(F.min("key").alias("key"))
+        if new["seen"]:
+            span = batch.where(F.col("key").isNotNull()).agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+            if span.low is None:
+                return
+            seen = self._read(new["seen"], "id long").where(F.col("id").between(span.low, span.high))
+            rows = rows.join(seen, "id", "left_anti")
+        rows = runtime.Scratch(self.spark, "batch").write(rows)
         if rows.isEmpty():
             return
-        for b, path in self._write(rows.select("id", "bucket"), "seen").items():
-            self.manifest["seen"].setdefault(b, []).append(path)
-        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_new"), F.min("id").alias("first_new")).withColumn("bucket", self._bucket(F.col("key")))
-        counted = runtime.written(counted, "counted")
-        touched = [r.bucket for r in counted.select("bucket").distinct().collect()]  # at most BUCKETS
-        kept = self._read("counts", touched, "key binary, copies long, first_id long")
-        merged = counted.join(kept, "key", "full_outer").select(
-            "key",
-            (F.coalesce("copies", F.lit(0)) + F.coalesce("n_new", F.lit(0))).alias("copies"),
-            F.least("first_id", "first_new").alias("first_id"),
-            self._bucket(F.col("key")).alias("bucket"),
-        )
-        for b, path in self._write(merged, "counts").items():
-            self.manifest["counts"][b] = [path]
-        self._commit()
+        ids = f"{self.root}/seen-{uuid.uuid4().hex}"
+        rows.select("id").sortWithinPartitions("id").write.parquet(ids)
+        new["seen"].append(ids)
+        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+        for b, path in self._write(counted, new["buckets"]).items():
+            new["counts"].setdefault(b, []).append(path)
+        full = [b for b, paths in new["counts"].items() if len(paths) > self.deltas]
+        if full:
+            self._compact(new, full)
+        if len(new["seen"]) > 8 * self.deltas:
+            ids = f"{self.root}/seen-{uuid.uuid4().hex}"
+            self._read(new["seen"], "id long").repartitionByRange("id").sortWithinPartitions("id").write.parquet(ids)
+            new["seen"] = [ids]
+        new["version"] += 1
+        self._commit(new)
+
+    def _compact(self, new: dict, full: list[str]) -> None:
+        merged = runtime.Scratch(self.spark, "merged").write(self._merged(new, full))
+        grown = merged.count() / len(full) / self.bucket_rows
+        if grown > 1:  # more buckets: all are written again
+            new["buckets"] *= 1 << math.ceil(math.log2(grown))
+            rest = [b for b in new["counts"] if b not in set(full)]
+            merged = merged.unionByName(self._merged(new, rest)) if rest else merged
+            new["counts"] = {}
+        for b, path in self._write(merged, new["buckets"]).items():
+            new["counts"][b] = [path]
 
     def counts(self) -> DataFrame:
         """(key, copies, first_id): one row per record, with the number of its copies and the smallest id among them."""
-        return self._read("counts", list(range(self.buckets)), "key binary, copies long, first_id long")
+        return self._merged(self.manifest, list(self.manifest["counts"]))
 
 
 def pairs(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:

@@ -50,7 +50,7 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(per_run).withColumnRenamed("error", "rank_error_bound")
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ledger.Ledger, int]:
+def _ledger(spark: SparkSession, sf_dir: str, root: str | None = None) -> tuple[DataFrame, ledger.Ledger, int]:
     rows = runtime.table(spark, sf_dir, "rollouts").select(
         F.col("rollout_id").alias("id"),
         ledger.key_of(text.canonical_id("case_id"), ledger.canonical_text(F.col("output"))).alias("key"),
@@ -58,16 +58,18 @@ def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ledger.Ledger,
     )
     # written before the nulls are dropped: a filter on the key would make Spark compute it twice
     keyed = runtime.written(rows, "keyed").where(F.col("key").isNotNull())
-    book = ledger.Ledger(spark)
+    book = ledger.Ledger(spark, root)
     per_batch = keyed.groupBy("batch").count().orderBy("batch").collect()  # one row per BATCH_DAYS days
     for b in per_batch:
         book.update(keyed.where(F.col("batch") == b.batch))
     return keyed, book, sum(b["count"] for b in per_batch)
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Further copies of rollouts whose case and output say the same thing, each with the first of its group."""
-    keyed, book, total = _ledger(spark, sf_dir)
+def p3_found(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """Further copies of rollouts whose case and output say the same thing, each with the first of its group.
+
+    With a root the ledger there is brought up to date; without, one is built for this call."""
+    keyed, book, total = _ledger(spark, sf_dir, root)
     return ledger.pairs(keyed, book.counts(), total)
 
 
