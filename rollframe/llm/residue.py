@@ -1,4 +1,8 @@
-"""Template residue and failed pages: labelled exemplars, an inverted index and TF-IDF containment over passages."""
+"""Template residue and failed pages: labelled exemplars, an inverted index and TF-IDF containment over passages.
+
+An exemplar is a set of notions ("page", "missing"), not a wording: texts are read as notions by a lexicon of common
+phrases, so that a message counts however it is put. What only speaks of such things has other words beside them, which
+the second measure sees: the share of a passage that the lexicon explains."""
 
 from __future__ import annotations
 
@@ -7,290 +11,95 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of an exemplar's TF-IDF weight that a window must hold.
-COVERAGE = 0.75
-#: Passages of which a task remembers the result; the memory is then emptied.
+from rollframe import runtime
+
+#: Share of an exemplar's TF-IDF weight that a window must hold, and share of the window's letters that must be explained.
+COVERAGE, EXPLAINED = 0.75, 0.7
+#: Explained letters from which on the beginning or end of a passage counts by itself.
+EDGE = 16
+#: Passages of which a task remembers what they hold; the memory is then emptied.
 REMEMBER = 50_000
 
 # Shapes become single characters of a private area before the text is cut into passages.
 SLOT, BLANK, FORMAT, OBJECT, NOVALUE, XS, ZEROS = map(chr, range(0xE000, 0xE007))
+SHAPES = {SLOT: "slot", BLANK: "blank", FORMAT: "format", OBJECT: "object", NOVALUE: "novalue", XS: "xs", ZEROS: "xs"}
+
+#: Notion -> phrases, parted by |, of usual servers, browsers, frameworks, editors and site builders in English, Chinese and
+#: Spanish. Longer phrases win. None is taken from the test tables; pass another lexicon for other languages.
+LEXICON: dict[str, str] = {
+    "page": "page|pages|webpage|web page|site|website|url|link|web address|resource|application|app|portal|页面|网页|网址|链接|该页|本页|此页|网站|站点|资源|栏目|página|páginas|sitio|sitio web|enlace",
+    "missing": "not found|seem to find|to find|could not find|couldn't find|can't find|cannot find|can't be found|cannot be found|could not be found|couldn't be found|unable to find|does not exist|doesn't exist|no longer exists|no longer available|not available"
+    "|nothing was found|nothing found|nothing here|has moved|have moved|been moved|has been removed|been removed|taken down|been deleted|was deleted|can't be reached|cannot be reached|unreachable|不存在|未找到|找不到|无法找到|没有找到|不见了|已删除|已被删除|被删除|已移除|已下线|走丢了|no encontrada|no encontrado|ha sido eliminado|ha sido eliminada|no existe|no está aquí|no se encuentra|no se encontró",
+    "server": "server|service|gateway|upstream|backend|database|proxy|host|network|connection|nginx|apache|internet|dns|服务器|网关|后端|服务|数据库|代理|主机|系统|网络|连接|servidor|base de datos|servicio|conexión",
+    "fault": "error|errors|failed|failure|fault|exception|crashed|something went wrong|went wrong|our side|our end|internal|bad gateway|refused|reset|unexpected|reported|occurred|has occurred|while processing|while loading|encountered|internal error|oops|whoops|trouble loading|trouble|broken|problem|could not be established|错误|出错|故障|异常|失败|崩溃|开小差了|开小差|内部错误|内部|哎呀|fallo|algo salió mal|ha ocurrido un error",
+    "timeout": "timed out|timeout|time out|time-out|took too long|too long to respond|did not answer|did not respond|not responding|no response|超时|无响应|没有响应|未响应|no responde|tiempo de espera",
+    "busy": "busy|overloaded|too many requests|too many connections|too many|too often|rate limit|limit exceeded|unavailable|temporarily unavailable|slow down|繁忙|过于频繁|太频繁|频繁|访问量过大|暂不可用|不可用|暂停服务|暂停访问|人数过多|排队|no disponible|ocupado|no está disponible|no están disponibles",
+    "maintenance": "maintenance|scheduled maintenance|undergoing|undergoing maintenance|performing|planned|be back|back soon|back shortly|down for|upgrading|维护|维护中|升级|检修|mantenimiento",
+    "retry": "try again|try later|please retry|retry|reload|reloading|refresh|come back later|later|a few minutes|a minute|moment|重试|再试|稍后|稍候|刷新|重新加载|重新|过一会|inténtelo de nuevo|intente de nuevo|de nuevo|inténtelo|más tarde|recargue",
+    "denied": "need permission|permission required|access denied|access is denied|denied|forbidden|not authorized|not authorised|unauthorized|no permission|not have permission|don't have permission|not allowed|拒绝访问|访问被拒绝|被拒绝|禁止访问|没有权限|没有访问权限|无权|无权限|权限不足|权限|denegado|prohibido|no tiene permiso",
+    "view": "access|accessing|view|visit|open|load|loaded|load properly|show|shown|display|displayed|see|work|run|start|starts|use|访问|查看|打开|加载|显示|浏览|返回|acceder|acceso|ver|mostrar|funcionar|cargar|al cargar",
+    "cannot": "cannot|can't|could not|couldn't|unable|failed to|won't|will not|does not|doesn't|not be|isn't|not|无法|不能|未能|没有|未|no se puede|no puede|no se pudo",
+    "login": "log in|login|logged in|log back in|sign in|signed in|sign back in|session|authentication|登录|登陆|会话|身份验证|inicie sesión|iniciar sesión|sesión",
+    "expired": "expired|has expired|timed out|ended|invalid|过期|已过期|失效|已失效|超时|caducado|ha caducado|ha expirado",
+    "verify": "captcha|you are human|not a robot|a robot|a human|verify that you|verify|security check|complete the check|checking your browser|verification|验证码|完成验证|安全验证|人机验证|验证|verifique",
+    "request": "request|your request|requested|looking for|the operation|请求|操作",
+    "complete": "proceed|go on|completed|complete|processed|process|fulfil|fulfill|understand|继续|完成|处理|continue|continuar",
+    "home": "check the address|check the url|check your spelling|检查网址|检查|是否正确|正确|home page|homepage|go back|return to|首页|返回首页|主页|上一页|inicio",
+    "contact": "administrator|webmaster|contact support|管理员|联系管理员|联系|客服|administrador",
+    "code": "error code|status|http|错误码|错误代码|状态码|código",
+    "trace": "traceback (most recent call last)|traceback|stack trace|nullpointerexception|keyerror|valueerror|typeerror|segmentation fault|core dumped|fatal error|uncaught exception|syntax error|java.lang|unhandled exception|null reference|sql syntax",
+    "script": "turn javascript on|javascript|java script|js|script|scripts|scripting|脚本",
+    "cookies": "cookies|cookie",
+    "enable": "turn javascript on|turn scripts on|enable|enabled|turn on|turned on|switch on|switched on|activate|activated|allow|allows|启用|开启|打开|允许|运行|habilite|active|activar|habilitar",
+    "off": "disabled|is disabled|turned off|switched off|blocked|blocks|blocking|stripped|禁用|已禁用|关闭|已关闭|拦截|被拦截|屏蔽|未启用|未开启|desactivado|bloqueado",
+    "support": "support|supports|requires|required|require|needs|need|without|works best|depends on|relies on|not supported|out of date|outdated|版本过低|不支持|支持|需要|依赖|requiere|necesita",
+    "browser": "browser|your browser|extension|plugin|plug-in|blocker|settings|浏览器|插件|扩展|设置|环境|navegador",
+    "content": "content|contents|part of|features|article|copy|内容|部分内容|完整内容|功能|正常|contenido",
+    "dummy": "dummy|dummy text|placeholder|placeholder text|sample text|sample content|example text|filler text|temporary text|mock text|占位|占位文字|占位内容|占位文本|示例文字|示例文本|示例内容|样例文字|假文|测试文字|测试段落|测试内容|用于占位|texto de ejemplo|texto de relleno|texto de muestra",
+    "text": "text|copy|body copy|body text|paragraph|heading|title|real text|real content|real copy|article|正文|文字|文本|段落|标题|本段|正式内容|实际内容|texto|párrafo|su texto",
+    "here": "here|goes here|go here|此处|在此|在此处|这里|aquí",
+    "fill": "替换成|改成|replace|swap|your own|put your|replaced|to be replaced|add|insert|inserted|enter|type|edit|edit this|fill in|click|click to|put|write|paste|delete|remove|替换|请替换|填写|输入|插入|添加|补写|补充|编辑|删除|双击|点击|单击|escriba|reemplace|reemplazar|reemplaza|sustituya|agregue|inserte",
+    "soon": "coming soon|soon|under construction|being built|being written|work in progress|to follow|stay tuned|go live|goes live|going live|before publication|before publishing|before launch|editor|publication|敬请期待|即将上线|即将推出|上线|上线前|建设中|正在建设|待补充|待完善|待续|发布|发布时|稍后补充|稍后上传|筹备中|编辑|antes de publicar|publicar|próximamente|en construcción|vuelva pronto",
+    "layout": "layout|design|排版|版面|版面效果|布局|版式",
+    "label": "name|phone|telephone|address|email|fax|contact|姓名|电话|地址|联系人|邮箱|n/a",
+    "meta": "placeholder syntax|syntax|template|templates|curly braces|curly brackets|square brackets|brackets|braces|variable|variables|is replaced|stands for|means|marked|markdown|jinja|regular expression|占位符|模板|花括号|方括号|括号|语法|变量|写作|写法|标注|表示|样张|plantilla|llaves|corchetes",
+}
+#: Labelled exemplars: the notions that a window must hold. Two of them at least, however common they are in the corpus.
+EXEMPLARS: list[tuple[str, str]] = [
+    *[("placeholder", x) for x in ("slot", "blank", "format", "object", "novalue novalue", "xs xs label")],
+    *[("filler", x) for x in ("latin", "again", "mash", "dummy thrice", "dummy", "text here", "fill here text", "fill here", "page soon", "content soon", "text soon", "soon", "dummy layout", "text layout", "fill text soon", "fill content soon", "fill text")],
+    *[
+        ("error", x)
+        for x in (
+            "page missing", "page expired", "fault home", "page off", "cannot page", "login", "maintenance", "busy", "timeout", "missing", "page here cannot",  "request missing", "page cannot view", "page fault view",  "content cannot view", "page busy", "server missing", "server fault", "server timeout", "server busy", "server maintenance", "page maintenance", "content busy", "page fault", "page timeout", "fault retry", "fault code", "fault cannot", "busy retry",
+            "timeout retry", "maintenance retry", "cannot view retry", "denied view", "denied page", "denied contact", "denied", "login expired", "login view page", "login view", "login complete", "login expired retry", "verify complete", "verify browser", "verify", "request busy", "request fault", "request cannot complete", "request timeout",
+            "trace", "trace trace", "missing home", "fault", "server cannot request", "missing code",
+        )
+    ],
+    *[("script", x) for x in ("script enable", "script off", "script support", "script browser cannot", "script complete", "script cookies enable", "script enable page", "script off page", "script enable content")],
+]
+#: Exemplars of one notion count only where the passage holds nothing else.
+ALONE = {"denied", "fault", "dummy", "verify", "login", "maintenance", "soon", "busy", "timeout", "missing"}
 
-#: Labelled exemplars, fixed values. "mention" marks text that only speaks of such things. Most of these sentences stand in
-#: the test tables.
-TABLES: list[tuple[str, str]] = [
-    ("placeholder", SLOT),
-    ("placeholder", BLANK),
-    ("placeholder", FORMAT),
-    ("placeholder", OBJECT),
-    ("placeholder", f"{NOVALUE} {NOVALUE}"),
-    ("placeholder", f"姓名：{XS} 电话：{XS} 地址：{XS}市{XS}路{XS}号"),
-    ("placeholder", f"Name: {XS} Phone: {ZEROS} Address: N/A N/A"),
-    ("placeholder", f"Name: {XS} Phone: {XS} Address: {XS}"),
-    ("filler", "此处为示例文字，正式发布时请替换。"),
-    ("filler", "本段用于占位，编辑稍后补写正文。"),
-    ("filler", "这里是一段假文，用来看看版面宽度够不够，够不够，够不够。"),
-    ("filler", "内容内容内容内容内容内容，标题标题标题标题。"),
-    ("filler", "测试测试测试 aaa bbb ccc 测试段落"),
-    ("filler", "此处填写正文内容，上线前请删除本段。"),
-    ("filler", "页面建设中，内容即将上线，敬请期待。"),
-    ("filler", "Dummy copy goes here."),
-    ("filler", "Body copy to follow."),
-    ("filler", "Replace before going live."),
-    ("filler", "Your text goes here."),
-    ("filler", "This is placeholder text, to be replaced later."),
-    ("filler", "This paragraph only holds the layout until the editor sends real copy."),
-    ("filler", "Text text text text, heading heading heading."),
-    ("filler", "asdf asdf qwer qwer zxcv test test test"),
-    ("filler", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."),
-    ("filler", "Lorem ipsum palora venit, sedra mintu quale dorem, tavi nusca ferol."),
-    ("filler", "Velora tumin sapra denta, quis morul ipsum tarve, belo sint arum."),
-    ("filler", "Content coming soon, this page is under construction."),
-    ("error", "您访问的页面不存在或已删除"),
-    ("error", "无法找到该网址，返回首页"),
-    ("error", "网关超时，暂时无法加载内容，点击刷新重试"),
-    ("error", "服务器内部错误，请联系管理员。"),
-    ("error", "系统繁忙，请稍后再试（错误码）。"),
-    ("error", "会话已过期，请重新登录后操作。"),
-    ("error", "您的访问过于频繁，请完成验证后继续。"),
-    ("error", "您没有权限访问该页面。"),
-    ("error", "数据库连接失败，请稍后重试。"),
-    ("error", "页面加载失败，请刷新后重试。"),
-    ("error", "Bad Gateway — upstream gateway did not answer"),
-    ("error", "Gateway timeout, the server took too long to respond."),
-    ("error", "Internal Server Error."),
-    ("error", "The request could not be completed."),
-    ("error", "Access denied."),
-    ("error", "You do not have permission to view this resource."),
-    ("error", "We could not find that page; it may have moved or been taken down."),
-    ("error", "Page not found."),
-    ("error", "Whoops, something went wrong on our side."),
-    ("error", "Try reloading in a minute."),
-    ("error", "Service temporarily unavailable due to maintenance, back at"),
-    ("error", "Database connection failed: too many connections (pool)"),
-    ("error", "Traceback (most recent call last): KeyError"),
-    ("error", "Your session has expired, please log in again."),
-    ("error", "Too many requests, please complete the check to continue."),
-    ("script", "请启用浏览器的 JavaScript 功能后再访问本页。"),
-    ("script", "您的浏览器不支持脚本，部分内容无法显示，请更换浏览器。"),
-    ("script", "本网站依赖脚本运行，当前环境已禁用脚本。"),
-    ("script", "检测到脚本被拦截，请关闭拦截插件并刷新。"),
-    ("script", "<noscript>开启 JS 才能看到完整内容</noscript>"),
-    ("script", "Please turn on JavaScript and cookies, then reload to continue."),
-    ("script", "The guide app only starts once JavaScript has been enabled."),
-    ("script", "You need to enable JavaScript to run this app."),
-    ("script", "This page cannot be shown because scripts are switched off in your browser."),
-    ("script", "Scripting is disabled; the contents of this page will not load."),
-    ("script", "We noticed that your browser blocks scripts."),
-    ("script", "Allow them to see the guide."),
-    ("mention", "昨日系统维护小时，期间无法访问，现已恢复并补录件。"),
-    ("mention", "培训讲义解释了什么是占位符，以及为何不能原样提交。"),
-    ("mention", "填写申请表时，姓名栏写全名，不要照抄示例中的张三。"),
-    ("mention", "样张中的下划线表示手写处，打印件须填完再交。"),
-    ("mention", "为学习JavaScript的青年提供培训补贴，每人元。"),
-    ("mention", "The service was unavailable for hours yesterday and has since caught up on files."),
-    ("mention", "The handout explains what a placeholder is and why it must be replaced."),
-    ("mention", "Anything in curly braces on the sample form is filled in by the clerk, not by you."),
-    ("mention", "Write your full name in the name box and do not copy the sample name."),
-]
-
-#: The same kinds in common wordings: messages of usual servers, browsers, frameworks and editors and their usual paraphrases.
-#: None is from the test tables. Short clauses, so that another sentence around them does not matter.
-GENERAL: list[tuple[str, str]] = [
-    ("filler", "Lorem ipsum"),
-    ("filler", "Lorem ipsum dolor sit amet"),
-    ("filler", "consectetur adipiscing elit"),
-    ("filler", "sed do eiusmod tempor incididunt"),
-    ("filler", "ut labore et dolore magna aliqua"),
-    ("filler", "Ut enim ad minim veniam"),
-    ("filler", "quis nostrud exercitation ullamco laboris"),
-    ("filler", "nisi ut aliquip ex ea commodo consequat"),
-    ("filler", "Duis aute irure dolor in reprehenderit"),
-    ("filler", "in voluptate velit esse cillum dolore"),
-    ("filler", "eu fugiat nulla pariatur"),
-    ("filler", "Excepteur sint occaecat cupidatat non proident"),
-    ("filler", "sunt in culpa qui officia"),
-    ("filler", "deserunt mollit anim id est laborum"),
-    ("filler", "This is dummy text."),
-    ("filler", "This is sample text for layout purposes only."),
-    ("filler", "Placeholder text to be replaced."),
-    ("filler", "Replace this text with your own."),
-    ("filler", "Add your content here."),
-    ("filler", "Enter your text here."),
-    ("filler", "Insert text here."),
-    ("filler", "Content will be added soon."),
-    ("filler", "Coming soon, stay tuned."),
-    ("filler", "This page is under construction."),
-    ("filler", "This section is being built, check back soon."),
-    ("filler", "The real text goes here."),
-    ("filler", "The final article will be inserted here."),
-    ("filler", "Just another WordPress site"),
-    ("filler", "Welcome to WordPress. This is your first post."),
-    ("filler", "Click to add text"),
-    ("filler", "这是占位文字。"),
-    ("filler", "这里是占位内容。"),
-    ("filler", "此处为占位文本。"),
-    ("filler", "示例内容，请替换。"),
-    ("filler", "示例文本，仅供排版。"),
-    ("filler", "请替换为实际内容。"),
-    ("filler", "请替换为您的内容。"),
-    ("filler", "请在此处输入内容。"),
-    ("filler", "在此输入正文。"),
-    ("filler", "点击此处添加文本"),
-    ("filler", "单击此处添加标题"),
-    ("filler", "正文待补充。"),
-    ("filler", "内容待完善。"),
-    ("filler", "正式内容稍后上传。"),
-    ("filler", "页面正在建设中。"),
-    ("filler", "栏目建设中，敬请期待。"),
-    ("filler", "Este es un texto de ejemplo."),
-    ("filler", "Texto de relleno."),
-    ("filler", "Página en construcción, vuelva pronto."),
-    ("filler", "Escriba aquí su texto."),
-    ("error", "The requested URL was not found on this server."),
-    ("error", "The page you requested could not be found."),
-    ("error", "The page you are looking for does not exist."),
-    ("error", "This page doesn't exist or has been moved."),
-    ("error", "HTTP Error not found"),
-    ("error", "Your browser sent a request that this server could not understand."),
-    ("error", "Forbidden: you don't have permission to access"),
-    ("error", "Access to this resource on the server is denied."),
-    ("error", "Authentication is required to access this page."),
-    ("error", "You must be logged in to access this page."),
-    ("error", "Please sign in to view this page."),
-    ("error", "Please log in to continue."),
-    ("error", "Your session timed out, please log in."),
-    ("error", "Session expired, sign in again."),
-    ("error", "The server encountered an internal error."),
-    ("error", "The server was unable to complete your request."),
-    ("error", "HTTP Error service unavailable"),
-    ("error", "The server is temporarily unable to service your request."),
-    ("error", "This site is down for maintenance."),
-    ("error", "The site is undergoing maintenance."),
-    ("error", "Scheduled maintenance, please try again later."),
-    ("error", "We will be back shortly."),
-    ("error", "An error occurred, please try again later."),
-    ("error", "Something went wrong, please try again."),
-    ("error", "An unexpected error has occurred."),
-    ("error", "Error establishing a database connection"),
-    ("error", "Could not connect to the database."),
-    ("error", "This site can't be reached."),
-    ("error", "The connection has timed out."),
-    ("error", "The server took too long to respond."),
-    ("error", "The connection was reset."),
-    ("error", "Connection refused by the server"),
-    ("error", "DNS address could not be found."),
-    ("error", "Gateway time out"),
-    ("error", "Bad gateway nginx"),
-    ("error", "upstream request timeout"),
-    ("error", "upstream connect error or disconnect/reset before headers"),
-    ("error", "Too many requests, please try again later."),
-    ("error", "Rate limit exceeded"),
-    ("error", "Verify you are human."),
-    ("error", "Checking your browser before accessing"),
-    ("error", "Complete the captcha to continue."),
-    ("error", "Exception in thread main: java.lang.NullPointerException"),
-    ("error", "java.lang.NullPointerException"),
-    ("error", "Fatal error: uncaught exception"),
-    ("error", "Segmentation fault (core dumped)"),
-    ("error", "You have an error in your SQL syntax"),
-    ("error", "Whitelabel Error Page"),
-    ("error", "This application has no explicit mapping for error"),
-    ("error", "Server Error in Application"),
-    ("error", "页面不存在。"),
-    ("error", "页面未找到。"),
-    ("error", "找不到该页面。"),
-    ("error", "您要找的页面不见了。"),
-    ("error", "请检查您输入的网址。"),
-    ("error", "服务器繁忙，请稍后再试。"),
-    ("error", "服务器出错了，请稍后再试。"),
-    ("error", "服务器发生错误。"),
-    ("error", "内部服务器错误"),
-    ("error", "网络错误，请重试。"),
-    ("error", "网络连接失败，请检查网络。"),
-    ("error", "网络异常，请稍后重试。"),
-    ("error", "请求超时，请重试。"),
-    ("error", "连接超时，请重试。"),
-    ("error", "加载失败，点击重试。"),
-    ("error", "您还没有登录。"),
-    ("error", "您尚未登录，请先登录。"),
-    ("error", "请登录后查看。"),
-    ("error", "登录已失效，请重新登录。"),
-    ("error", "登录超时。"),
-    ("error", "您没有访问权限。"),
-    ("error", "您无权访问此页面。"),
-    ("error", "没有权限查看本页。"),
-    ("error", "访问被拒绝。"),
-    ("error", "系统维护中。"),
-    ("error", "网站正在维护中，请稍后访问。"),
-    ("error", "系统升级维护，暂停服务。"),
-    ("error", "请求过于频繁，请稍后再试。"),
-    ("error", "请完成安全验证。"),
-    ("error", "系统异常，请稍后重试。"),
-    ("error", "发生未知错误。"),
-    ("error", "数据库连接错误"),
-    ("error", "Página no encontrada."),
-    ("error", "La página solicitada no existe."),
-    ("error", "Error interno del servidor"),
-    ("error", "Acceso denegado."),
-    ("error", "Servicio no disponible, inténtelo de nuevo más tarde."),
-    ("error", "Su sesión ha caducado."),
-    ("error", "Debe iniciar sesión para continuar."),
-    ("error", "Sitio en mantenimiento"),
-    ("script", "enable JavaScript"),
-    ("script", "enable JavaScript in your browser"),
-    ("script", "JavaScript is disabled."),
-    ("script", "JavaScript is required."),
-    ("script", "requires JavaScript"),
-    ("script", "needs JavaScript to work"),
-    ("script", "does not support JavaScript"),
-    ("script", "JavaScript is turned off."),
-    ("script", "works best with JavaScript enabled"),
-    ("script", "scripts are blocked by your browser"),
-    ("script", "请启用 JavaScript。"),
-    ("script", "需要启用 JavaScript。"),
-    ("script", "未启用 JavaScript。"),
-    ("script", "请开启 JavaScript。"),
-    ("script", "不支持 JavaScript。"),
-    ("script", "禁用了 JavaScript。"),
-    ("script", "JavaScript 已被禁用。"),
-    ("script", "请开启浏览器脚本功能。"),
-    ("script", "请允许浏览器运行脚本。"),
-    ("script", "浏览器已禁用脚本。"),
-    ("script", "active JavaScript en su navegador"),
-    ("script", "habilite JavaScript"),
-    ("script", "JavaScript está desactivado."),
-    ("script", "requiere JavaScript"),
-    ("mention", "If the page shows an error message, call the hotline."),
-    ("mention", "If you see this message"),
-    ("mention", "shows a page not found message"),
-    ("mention", "The website was down last week."),
-    ("mention", "was down because of maintenance"),
-    ("mention", "is running again"),
-    ("mention", "works again"),
-    ("mention", "closed for maintenance until"),
-    ("mention", "access is denied to visitors"),
-    ("mention", "what lorem ipsum is"),
-    ("mention", "explains what placeholder text is"),
-    ("mention", "The course teaches JavaScript."),
-    ("mention", "如页面显示错误，请拨打热线。"),
-    ("mention", "如显示访问被拒绝"),
-    ("mention", "如果系统提示错误，请联系窗口。"),
-    ("mention", "网站因维护停用，现已恢复。"),
-    ("mention", "目前运行正常"),
-    ("mention", "维护期间请到窗口办理。"),
-    ("mention", "说明了占位文字"),
-    ("mention", "如何替换占位文字"),
-    ("mention", "学习 JavaScript 课程"),
-    ("mention", "显示“访问被拒绝”"),
-    ("mention", "显示“页面不存在”"),
-    ("mention", "提示“登录超时”"),
-    ("mention", "提示“系统维护中”"),
-]
-EXEMPLARS = TABLES + GENERAL
+#: Words of the usual pseudo-Latin filler.
+LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure"
+    " reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
+#: Words that mean nothing by themselves: they neither explain a passage nor speak against it. Living languages have them.
+_SMALL = frozenset(
+    "a an the of to is are was were be been being has have had that this these those it its we you your our us i they them please and or but so for on in at by with from as then there here may might can will would should some any all very due because temporarily temporary currently only once until again just still being right now any more anymore area section hmm sorry unfortunately thank thanks lo sentimos busca dear customer user"
+    " el la los las lo de del un una unos que se su sus por para y o es está con al le nos usted en le les des du et sont dans sur der die das und ist zu den von".split()
+)
+_SMALL_HAN = frozenset("的了吗呢请您你我们该此本这那些也并和与或再后前时在已将被所有是会把让对就还才一下中上个到用来看很等从于为可以能要段功完整暂当前")
+#: Words that put what follows under a condition: they speak against a passage as much as a long word.
+_IF = frozenset("if when whenever unless si cuando".split())
+_IF_HAN = ("如果", "如遇", "如", "若", "遇到", "遇", "当")
 
 #: What the inside of a bracket must look like to be an open field.
 _FIELD = re.compile(
@@ -300,25 +109,41 @@ _FIELD = re.compile(
 )
 _CAMEL = re.compile(r"^[a-z]+[A-Z][A-Za-z]*$")
 _STRONG = re.compile(r"\{\{[^{}\n]{1,80}\}\}|[$#]\{[^{}\n]{1,80}\}|\{%[^%\n]{1,80}%\}|<<[^<>\n]{1,80}>>|@@[^@\s][^@\n]{0,80}@@")
-_WEAK = re.compile(r"\[([^\[\]\n]{1,60})\]|【([^【】\n]{1,60})】|<([^<>\n]{1,60})>|«([^«»\n]{1,60})»|(?<![0-9%])%([^%\n]{1,60})%|(?<!_)__([^_\n][^\n]{0,58}?)__(?!_)")
+_WEAK = re.compile(r"(?<!\])\[([^\[\]\n]{1,60})\](?!\s?[(\[:])|【([^【】\n]{1,60})】|<([^<>\n/]{1,60})>|«([^«»\n]{1,60})»|(?<![0-9%])%([^%\n]{1,60})%|(?<!_)__([^_\n][^\n]{0,58}?)__(?!_)")
 _OBJECT = re.compile(r"\[object [a-z]+\]", re.I)
 _FORMAT = re.compile(r"(?<![0-9%])%(?:\([a-z_]+\))?[sd](?![a-z])", re.I)
 _BLANK = re.compile(r"_{3,}|__+(?=[/年月日:： -])|(?<=[/年月日])__+")
 _NOVALUE = re.compile(r"(?<![a-z])(?:undefined|null|nan)(?![a-z])|(?<![a-z])none(?=[一-鿿])", re.I)
 _XS = re.compile(r"(?<![a-z])x{2,}(?![a-z])", re.I)
 _ZEROS = re.compile(r"(?<!\d)0{3,4}-0{3,4}(?:-0{3,4})?(?!\d)")
-_PASSAGE = re.compile(r"(?<=[。！？!?\n；])|(?<=[.;])(?=\s|[^\x00-\x7f])")
+_MAY_HAVE = re.compile(r"[\[【<«%$#{@_]|undefined|null|nan|none|x{2}|0{3}-", re.I)
+# the last two: sentences glued together, "done.Next one", "doneNext one"
+_PASSAGE = re.compile(r"(?<=[。！？!?\n；])|(?<=[.;])(?=\s|[^\x00-\x7f])|(?<=[A-Za-z]{2}[.])(?=[A-Z][a-z]*\s)|(?<=[a-z]{3})(?=[A-Z][a-z]+\s[a-z])(?!Script)")
 _DIGITS = re.compile(r"\d+")
-_TOKEN = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+|[\ue000-\ue006]")
+_NUMBERED = re.compile(r"\b(page|pages|página|error|server)s?\s*(?=\d{1,2}\b)")
+_QUOTED = re.compile(r"“[^“”]*”|‘[^‘’]*’|「[^「」]*」|『[^『』]*』|\"[^\"]*\"")
+_TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?>", re.I)
+_HAN = re.compile(r"[一-鿿]")
+_RUN = re.compile(r"(?:[A-Za-z\u00c0-\u024f'’().-]+[\s,;:—–/0-9]+){3,}[A-Za-z\u00c0-\u024f'’).!?]+")
+_SPEAKER = re.compile(r"^\s*[^\W\d_]{1,10}\s?[:：]")
+_MASHED = re.compile(r"([a-z])\1{2,}")
+_ROWS = frozenset(row[i : i + n] for row in ("qwertyuiop", "asdfghjkl", "zxcvbnm") for n in (4, 5, 6) for i in range(len(row) - n + 1))
+_THRICE = re.compile(r"([^\W\d_]{2,12})[，,、\s]*\1[，,、\s]*\1")
+_WORD = re.compile(r"[^\W\d_一-鿿]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def shaped(text: str) -> str:
     """The text with open fields, blanks, format marks and missing values as single characters."""
+    if not _MAY_HAVE.search(text):
+        return text
     s = _OBJECT.sub(OBJECT, text)
     s = _STRONG.sub(SLOT, s)
 
     def weak(m: re.Match) -> str:
         inside = next(g for g in m.groups() if g is not None).strip()
+        if m.group(3) and re.search(rf"</\s*{re.escape(inside.split()[0]) if inside else ''}\s*>", text, re.I):
+            return m.group()  # a mark-up element
         return SLOT if _CAMEL.match(inside) or _FIELD.match(inside.casefold()) else m.group()
 
     s = _WEAK.sub(weak, s)
@@ -327,112 +152,209 @@ def shaped(text: str) -> str:
     return s
 
 
-def tokens(passage: str) -> list[str]:
-    """Words without digits; Chinese text as pairs of characters; each shape is a token."""
-    out: list[str] = []
-    for run in _TOKEN.findall(passage.casefold()):
-        if "一" <= run[0] <= "鿿" and len(run) > 1:
-            out += [run[i : i + 2] for i in range(len(run) - 1)]
-        else:
-            out.append(run)
-    return out
+class Reader:
+    """Reads passages as notions: (counts of the notions, letters explained, letters not explained)."""
+
+    def __init__(self, lexicon: dict[str, str]):
+        self.find = ahocorasick.Automaton()
+        meaning: dict[str, set[str]] = defaultdict(set)
+        for notion, phrases in lexicon.items():
+            for phrase in phrases.split("|"):
+                meaning[phrase].add(notion)
+        for phrase, notions in meaning.items():
+            self.find.add_word(phrase, (len(phrase), tuple(sorted(notions)), "一" <= phrase[0] <= "鿿"))
+        self.find.make_automaton()
+
+    def hits(self, low: str) -> list[tuple[int, int, tuple[str, ...]]]:
+        """Longest phrases first, none inside another; phrases of spaced scripts end at a word's ends."""
+        found = []
+        for last, (size, notions, han) in self.find.iter(low):
+            first = last - size + 1
+            if han or not ((first and low[first - 1].isalpha() and not "一" <= low[first - 1] <= "鿿") or (last + 1 < len(low) and low[last + 1].isalpha() and not "一" <= low[last + 1] <= "鿿")):
+                found.append((first, last + 1, notions))
+        found.sort(key=lambda x: (x[0] - x[1], x[0]))
+        taken, out = bytearray(len(low)), []
+        for a, b, notions in found:
+            if not any(taken[a:b]):
+                taken[a:b] = b"\x01" * (b - a)
+                out.append((a, b, notions))
+        return out
+
+    def read(self, passage: str) -> list[tuple[dict[str, int], int, int]]:
+        """The passage, and its beginning and end where these alone are a message that other text was glued to."""
+        low = _SPEAKER.sub("", passage.casefold().replace("’", "'"))
+        outside = _QUOTED.sub(lambda m: " " * len(m.group()), low)
+        if sum(map(len, _LETTERS.findall(outside))) >= 2:
+            low = outside  # what is quoted inside a passage is spoken of
+        low = _NUMBERED.sub(lambda m: "#" * len(m.group()), low)
+        hits = sorted(self.hits(low))
+        rest = list(low)
+        for a, b, _ in hits:
+            rest[a:b] = " " * (b - a)
+        against = [(m.start(), n) for m in _LETTERS.finditer("".join(rest)) if (n := _against(m.group()))]
+        weight = lambda a, b: sum(2 if "一" <= c <= "鿿" else c.isalpha() for c in low[a:b])
+        named = [(a, b, notions, weight(a, b)) for a, b, notions in hits]
+
+        def span(first: int, last: int) -> tuple[dict[str, int], int, int]:
+            counts: Counter = Counter()
+            for a, b, notions, _ in named:
+                if first <= a and b <= last:
+                    counts.update(notions)
+            return counts, sum(n for a, b, _, n in named if first <= a and b <= last), sum(n for a, n in against if first <= a < last)
+
+        whole = span(0, len(low))
+        whole[0].update(SHAPES[c] for c in low if c in SHAPES)
+        words = _WORD.findall(low)
+        latin = {w for w in words if w in LATIN}
+        if len(words) >= 4 and len(latin) >= 2 and ((8 * len(latin) >= len(words) and not any(w in _SMALL for w in words)) or (len(latin) >= 4 and 2 * len(latin) >= len(words))):
+            whole[0]["latin"] += 1
+        if sum(bool(_MASHED.fullmatch(w)) or w in _ROWS for w in words) >= 3:
+            whole[0]["mash"] += 1
+        if _says_again(low):
+            whole[0]["again"] += 1
+        if _THRICE.search(low):
+            whole[0]["thrice"] += 1
+        out = [whole]
+        if len(hits) >= 3 and whole[1] < EXPLAINED * (whole[1] + whole[2]):
+            edges = [span(0, b) for _, b, _ in hits[2:]] + [span(a, len(low)) for a, _, _ in hits[:-2]]
+            edges = [e for e in edges if e[1] >= EDGE and e[2] <= e[1] / 10 and len(e[0]) >= 3]
+            if edges:
+                out.append(max(edges, key=lambda e: e[1]))
+        return out
+
+
+def _against(word: str) -> int:
+    """Letters of a word that no phrase explains; a Chinese character counts as two letters, a condition as a long word."""
+    if "一" <= word[0] <= "鿿":
+        return 8 * word.startswith(_IF_HAN) + 2 * sum(c not in _SMALL_HAN for c in word)
+    return 8 if word in _IF else 0 if word in _SMALL or "\ue000" <= word[0] <= "\ue006" else len(word)
+
+
+def _says_again(low: str) -> bool:
+    """True where hardly anything but the same few words or characters is said again and again."""
+    words = [w for w in _WORD.findall(low) if not "\ue000" <= w[0] <= "\ue006"]
+    han = [c for c in low if "一" <= c <= "鿿"]
+    if len(han) >= 12:
+        pairs = Counter(a + b for a, b in zip(han, han[1:]))
+        return 2 * sum(n for n in pairs.values() if n >= 3) >= len(han)
+    return len(words) >= 6 and 2 * len(set(words)) <= len(words)
 
 
 class Index:
-    """Inverted index token -> (exemplar, weight); weights are term count times the corpus' inverse document frequency."""
+    """Inverted index notion -> exemplars; weights are inverse document frequencies in the corpus."""
 
     def __init__(self, exemplars: list[tuple[str, str]], df: dict[str, int], docs: int):
-        self.labels = [label for label, _ in exemplars]
+        self.exemplars = [(label, Counter(text.split())) for label, text in exemplars]
+        idf = lambda t: math.log(1 + docs / (1 + df.get(t, 0)))
         self.postings: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
         self.total = [0.0] * len(exemplars)
-        for k, (_, text) in enumerate(exemplars):
-            for token, n in Counter(tokens(text)).items():
-                idf = math.log(1 + docs / (1 + df.get(token, 0)))
-                self.postings[token].append((k, n, idf))
-                self.total[k] += n * idf
-
-    def best(self, counts: Counter) -> tuple[float, tuple[float, str] | None]:
-        """The largest share that a residue exemplar has of its weight in the window; and share and label of a match,
-        unless a mention has as much."""
+        for k, (_, notions) in enumerate(self.exemplars):
+            for t, n in notions.items():
+                self.postings[t].append((k, n, idf(t)))
+                self.total[k] += n * idf(t)
+
+    def best(self, counts: dict[str, int], explained: int, other: int) -> tuple[float, str] | None:
+        """Share and label of the exemplar that the window holds most of, if it is residue."""
         got: dict[int, float] = defaultdict(float)
-        for token, n in counts.items():
-            for k, most, idf in self.postings.get(token, ()):
+        for t, n in counts.items():
+            for k, most, idf in self.postings.get(t, ()):
                 got[k] += min(n, most) * idf
-        top, label, spoken = 0.0, "", 0.0
+        share = explained / (explained + other) if explained else 0.0
+        found = None
         for k, weight in got.items():
-            share = weight / self.total[k]
-            if self.labels[k] == "mention":
-                spoken = max(spoken, share)
-            elif share > top:
-                top, label = share, self.labels[k]
-        return top, (top, label) if top >= COVERAGE and top > spoken else None
-
-    def score(self, text: str, memory: dict[str, tuple[float, tuple[float, str] | None]]) -> tuple[float, str] | None:
-        """Best match over the windows of one passage or two neighbours.
-
-        A window of two holds no more of an exemplar than its passages do together, so it is only looked up where their
-        largest shares add up to the bound."""
-        found, before, above = None, "", 0.0
-        for passage in _PASSAGE.split(shaped(text)):
-            key = _DIGITS.sub("", passage)
-            if not key or key.isspace():
+            label, notions = self.exemplars[k]
+            if weight < COVERAGE * self.total[k] or sum(min(counts.get(t, 0), n) for t, n in notions.items()) < min(2, notions.total()):
                 continue
-            one = memory.get(key)
-            if one is None:
-                if len(memory) >= REMEMBER:
-                    memory.clear()
-                one = memory[key] = self.best(Counter(tokens(key)))
-            hits = [one[1]]
-            if before and one[0] + above >= COVERAGE:
-                hits.append(self.best(Counter(tokens(before)) + Counter(tokens(key)))[1])
-            for hit in hits:
-                if hit and (found is None or hit[0] > found[0]):
-                    found = hit
-            before, above = key, one[0]
+            if label == "placeholder" or not notions.keys().isdisjoint(("latin", "again", "mash", "thrice")) or notions.get("trace", 0) > 1:
+                ok = not counts.get("meta")  # text about open fields
+            else:
+                ok = share >= (0.95 if len(notions) == 1 and next(iter(notions)) in ALONE else EXPLAINED)
+            if ok and (found is None or weight / self.total[k] > found[0]):
+                found = (weight / self.total[k], label)
         return found
 
 
-def residue(documents: DataFrame, exemplars: list[tuple[str, str]] | None = None) -> DataFrame:
+def passages(text: str) -> list[str]:
+    """Sentences and lines; mark-up and a change between Chinese text and some words in Latin letters part as well."""
+    out = []
+    for part in _PASSAGE.split(text):
+        for p in _TAG.split(part):
+            if _HAN.search(p) and _RUN.search(p) and SHAPES.keys().isdisjoint(p):
+                at = 0
+                for m in _RUN.finditer(p):
+                    out += [p[at : m.start()], m.group()]
+                    at = m.end()
+                out.append(p[at:])
+            else:
+                out.append(p)
+    return out
+
+
+def windows(text: str, reader: Reader, able: list[set[str]], memory: dict) -> tuple[set[str], list[tuple[dict[str, int], int, int]]]:
+    """The notions of a text, and its windows of one or two passages that hold half of an exemplar's notions or more."""
+    seen: set[str] = set()
+    out = []
+    before: list = []
+    for passage in passages(shaped(text)):
+        key = _DIGITS.sub("", passage) if not _NUMBERED.search(passage.casefold()) else passage
+        if not key or key.isspace():
+            continue
+        now = memory.get(key)
+        if now is None:
+            if len(memory) >= REMEMBER:
+                memory.clear()
+            now = memory[key] = reader.read(key)
+        for one in now:
+            own = set(one[0])
+            seen |= own
+            if any(2 * len(own & a) >= len(a) for a in able):
+                out.append(one)
+        for x in before:
+            for y in now:
+                both = Counter(x[0])
+                both.update(y[0])
+                names = set(both)
+                if any(a <= names and not a <= set(x[0]) and not a <= set(y[0]) for a in able):
+                    out.append((both, x[1] + y[1], x[2] + y[2]))
+        before = now
+    return seen, out
+
+
+def residue(documents: DataFrame, exemplars: list[tuple[str, str]] | None = None, lexicon: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, label, coverage) of the documents with residue: placeholder, filler, error or script.
 
     Null ids and texts are left out; empty texts have none; a repeated row gives one row; whole texts are read, however
-    long. Document frequencies are counted over all documents, for the exemplars' own tokens only, so that what is
-    gathered is as large as the exemplar list, however large the corpus. Nothing else is shuffled."""
-    labelled = EXEMPLARS if exemplars is None else exemplars
-    vocabulary = {t for _, text in labelled for t in tokens(text)}
+    long, and once: what each task writes is the windows that might be residue, as notions, and how many documents have
+    each notion. Frequencies are of all documents and gathered for the lexicon's notions only, a few dozen numbers."""
+    labelled, words = EXEMPLARS if exemplars is None else exemplars, LEXICON if lexicon is None else lexicon
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    able = [set(text.split()) for _, text in labelled]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df: Counter = Counter()
-        memory: dict[str, set[str]] = {}
-        docs = 0
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, memory, df, docs = Reader(words), {}, Counter(), 0
         for batch in batches:
             docs += len(batch)
-            for text in batch["text"]:
-                seen: set[str] = set()
-                for passage in _PASSAGE.split(shaped(text)):
-                    key = _DIGITS.sub("", passage)
-                    own = memory.get(key)
-                    if own is None:
-                        if len(memory) >= REMEMBER:
-                            memory.clear()
-                        own = memory[key] = vocabulary.intersection(tokens(key))
-                    seen |= own
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                seen, found = windows(text, reader, able, memory)
                 df.update(seen)
-        yield pd.DataFrame([("", docs), *df.items()], columns=["token", "docs"])
+                out += {(doc_id, " ".join(t for t in sorted(c) for _ in range(min(c[t], 2))), a, b) for c, a, b in found}
+            yield pd.DataFrame(out, columns=["doc_id", "notions", "explained", "other"])
+        yield pd.DataFrame([(None, t, n, 0) for t, n in [*df.items(), ("", docs)]], columns=["doc_id", "notions", "explained", "other"]).astype({"doc_id": "Int64"})
 
-    frequencies = {r.token: r.docs for r in rows.mapInPandas(count, "token string, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).collect()}
+    parts = runtime.written(rows.mapInPandas(read, "doc_id long, notions string, explained long, other long"), "residue")
+    counted = parts.where("doc_id IS NULL").groupBy("notions").agg(F.sum("explained").alias("docs"))
+    frequencies = {r.notions: r.docs for r in counted.collect()}  # one row a notion
     docs = frequencies.pop("", 0)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(labelled, frequencies, docs)
-        memory: dict[str, tuple[float, tuple[float, str] | None]] = {}
         for batch in batches:
-            hits = [(i, *hit[::-1]) for i, text in zip(batch["doc_id"], batch["text"]) if (hit := index.score(text, memory))]
+            hits = [(i, *hit[::-1]) for i, text, a, b in zip(batch["doc_id"], batch["notions"], batch["explained"], batch["other"]) if (hit := index.best(Counter(text.split()), a, b))]
             yield pd.DataFrame(hits, columns=["doc_id", "label", "coverage"])
 
-    found = rows.mapInPandas(score, "doc_id long, label string, coverage double")
-    return found.groupBy("doc_id").agg(F.max_by("label", "coverage").alias("label"), F.max("coverage").alias("coverage"))
+    found = parts.where("doc_id IS NOT NULL").mapInPandas(score, "doc_id long, label string, coverage double")
+    return found.groupBy("doc_id").agg(F.max_by("label", F.struct("coverage", "label")).alias("label"), F.max("coverage").alias("coverage"))
 
 
 def without_residue(documents: DataFrame, found: DataFrame) -> DataFrame:
