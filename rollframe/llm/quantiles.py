@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollframe import runtime
+
 #: Values in a buffer. A group of n values has at most h = log2(n / K) + 1 levels and a rank error of about n h / (2 K).
 K = 1024
-#: Values that a task holds over all its groups before it hands its sketches on and starts anew.
-TASK_VALUES = 2_000_000
-#: Sketches of one group are first merged in this many parts, then the parts are merged.
+#: Different values of all groups for which there is one part more.
+PART_VALUES = 1_000_000
+#: Sketches of a group that are merged at once, about.
 FAN = 32
 
 FIELDS = "n long, error long, weights array<long>, sizes array<int>, items array<double>"
@@ -33,9 +35,19 @@ class Sketch:
         self.fill: list[np.ndarray] = []
         self.full: list[np.ndarray | None] = []
 
-    def add(self, values: np.ndarray) -> None:
-        self.n += len(values)
-        self._fill(values)
+    def add(self, values: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Values, each once or as many times as said: full buffers of one value are laid down at their weight at once."""
+        if times is None or (times == 1).all():
+            self.n += len(values)
+            self._fill(values)
+            return
+        self.n += int(times.sum())
+        for v, t in zip(values[times >= K].tolist(), times[times >= K].tolist()):
+            whole = t // K
+            for level in range(whole.bit_length()):
+                if whole >> level & 1:
+                    self._push(np.full(K, v), level)
+        self._fill(np.repeat(values, times % K))
 
     def _fill(self, values: np.ndarray) -> None:
         self.fill.append(values)
@@ -95,40 +107,58 @@ def sketch(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
     Nulls and NaN are no values; a null in a group column makes a group of its own; groups without a value are
     missing; an empty input gives no row. Infinite values are ordered as usual. Other columns of df are not read.
-    Every task sketches its own rows (at most TASK_VALUES values held), so no group meets in one task.
-    """
-    rows = df.select(*groups, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+
+    Values are counted first, on the map side, so that a value that a third of all rows have is one row a task. Then each
+    group's values are parted by their hashes, into as many parts as the data ask for, and every part is read in order:
+    how the rows lay in files and tasks makes no difference to the result, and no group meets in one task."""
+    v = F.col(value).cast("double")
+    rows = df.select(*groups, (v + 0.0).alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     names = list(groups)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema) + ", " + FIELDS
+    counted = runtime.written(rows.groupBy(*groups, "_value").agg(F.count(F.lit(1)).alias("_times")), "values")
+    parts = max(1, -(-counted.count() // PART_VALUES))
+    keyed = counted.withColumn("_part", F.pmod(F.xxhash64("_value"), F.lit(parts)).cast("int"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema) + ", _part int, " + FIELDS
+    columns = [*names, "_part", "n", "error", "weights", "sizes", "items"]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Sketch] = {}
-        since = 0
+        now, held = None, Sketch()
         for batch in batches:
-            for key, part in batch.groupby(names, dropna=False, sort=False)["_value"]:
-                key = tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                if key not in held:
-                    held[key] = Sketch()
-                held[key].add(part.to_numpy())
-            since += len(batch)
-            if since >= TASK_VALUES:
-                yield frame(held)
-                held, since = {}, 0
-        if held:
-            yield frame(held)
-
-    def frame(held: dict[tuple, Sketch]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *s.state()) for key, s in held.items()], columns=[*names, "n", "error", "weights", "sizes", "items"])
-
-    return merge(rows.mapInPandas(partial, schema), groups)
+            out = []
+            at = np.flatnonzero((batch[[*names, "_part"]].ne(batch[[*names, "_part"]].shift()) & ~(batch[[*names, "_part"]].isna() & batch[[*names, "_part"]].shift().isna())).any(axis=1).to_numpy() | (np.arange(len(batch)) == 0))
+            values, times = batch["_value"].to_numpy(), batch["_times"].to_numpy()
+            for a, b in zip(at, [*at[1:], len(batch)]):
+                key = tuple(None if x is None or x != x else x for x in batch[[*names, "_part"]].iloc[a])
+                if key != now:
+                    if now is not None:
+                        out.append((*now, *held.state()))
+                    now, held = key, Sketch()
+                held.add(values[a:b], times[a:b])
+            yield pd.DataFrame(out, columns=columns)
+        if now is not None:
+            yield pd.DataFrame([(*now, *held.state())], columns=columns)
+
+    key = [*groups, "_part"]
+    mix = F.xxhash64("_value", F.lit(3))  # not by size: a buffer should hold values from all over
+    sketches = keyed.repartition(*key).withColumn("_mix", mix).sortWithinPartitions(*key, "_mix", "_value").select(*key, "_value", "_times").mapInPandas(partial, schema)
+    return _tree(sketches, groups, parts) if parts > 1 else sketches.drop("_part")
 
 
 def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     """Sketches with the same group columns become one. Works on sketches of other runs, days or partitions alike,
-    and on coarser groups than those the sketches were made for. Merged in two steps, so that no task reads more than
-    a part of a hot group's sketches."""
-    parts = sketches.select(*groups, "n", "error", "weights", "sizes", "items", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("_part"))
-    return _merge(_merge(parts, [*groups, "_part"]).drop("_part"), groups)
+    and on coarser groups than those the sketches were made for. Merged level by level, about FAN at once, so that no task
+    reads more than that of a hot group; which go together depends on what they hold, not on where they lie."""
+    fields = ["n", "error", "weights", "sizes", "items"]
+    own = sketches.select(*groups, *fields)
+    most = own.groupBy(*groups).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first().c or 1
+    return _tree(own.withColumn("_part", F.pmod(F.xxhash64(*fields), F.lit(1 << 30)).cast("int")), groups, most)
+
+
+def _tree(sketches: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """most: the largest number of sketches of a group."""
+    while most > FAN:
+        most = -(-2 * most // FAN)
+        sketches = _merge(sketches.withColumn("_part", F.pmod(F.xxhash64("_part", F.lit(most)), F.lit(most)).cast("int")), [*groups, "_part"])
+    return _merge(sketches.drop("_part"), groups)
 
 
 def _merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
@@ -136,7 +166,8 @@ def _merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         total = Sketch()
-        for row in part.sort_values(["n"], ascending=False, kind="stable").itertuples():
+        part = part.assign(_i=[i.tobytes() for i in part["items"].map(np.asarray)]).sort_values(["n", "error", "_i"], ascending=[False, True, True], kind="stable")
+        for row in part.itertuples():
             total.merge(row.n, row.error, row.weights, row.sizes, row.items)
         return pd.DataFrame([(*key, *total.state())], columns=[*groups, "n", "error", "weights", "sizes", "items"])
 

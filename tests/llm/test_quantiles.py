@@ -48,6 +48,43 @@ def test_merged_days_equal_the_whole_within_the_bound(spark):
     assert rank_error(values, r.p50, 0.5) <= r.error + 64
 
 
+def test_layout_makes_no_difference_and_the_bound_holds(spark, monkeypatch):
+    """Several parts and levels, a value that a third of the rows have, other numbers of tasks: the same sketch, and ranks
+    within the bound that it states."""
+    monkeypatch.setattr(q, "PART_VALUES", 4000)
+    monkeypatch.setattr(q, "FAN", 4)
+    df = spark.range(240_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 5).cast("string"))).alias("g"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.xxhash64("id") / 2.0**63).alias("v"))
+    shares = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+    got = [{r.g: r for r in q.percentiles(q.sketch(x, ["g"], "v"), shares).collect()} for x in (df.repartition(1), df.repartition(7, "v"), df.orderBy("v").coalesce(3))]
+    assert got[0] == got[1] == got[2]
+    values = {}
+    for r in df.collect():
+        values.setdefault(r.g, []).append(r.v)
+    for g, r in got[0].items():
+        assert r.n == len(values[g]) and r.error < 0.05 * r.n
+        for name, share in shares.items():
+            assert rank_error(values[g], r[name], share) <= r.error + 2 * r.n // q.K + 1
+
+
+def test_many_sketches_of_one_group(spark, monkeypatch):
+    monkeypatch.setattr(q, "FAN", 4)
+    df = spark.range(5000).select((F.col("id") % 100).alias("run"), F.lit("s").alias("s"), (F.col("id") * 7919 % 5000).cast("double").alias("v"))
+    runs = q.sketch(df, ["run"], "v").withColumn("s", F.lit("s"))
+    one = q.percentiles(q.merge(runs, ["s"]), {"p50": 0.5}).collect()
+    two = q.percentiles(q.merge(runs.repartition(5, "n"), ["s"]), {"p50": 0.5}).collect()
+    assert one == two and one[0].n == 5000 and abs(one[0].p50 - 2499) <= one[0].error + 8
+
+
+def test_values_many_times(spark):
+    s, t = q.Sketch(), q.Sketch()
+    s.add(np.array([1.0, 2.0, 3.0]), np.array([5000, 1, 70_000]))
+    t.add(np.repeat([1.0, 2.0, 3.0], [5000, 1, 70_000]))
+    for x in (s, t):
+        n, _, weights, sizes, items = x.state()
+        assert n == 75_001 == sum(w * k for w, k in zip(weights, sizes))
+        assert q.values_at(weights, sizes, items, n, [0.01, 0.5]) == [1.0, 3.0]
+
+
 def test_merge_may_open_levels(spark):
     s = q.Sketch()
     s.merge(2048, 0, [2], [1024], np.arange(1024.0))
