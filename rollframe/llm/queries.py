@@ -91,13 +91,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sizes = runtime.written(mixing.sized(runtime.table(spark, sf_dir, "documents")), "sizes")
-    return sizes, mixing.plan(sizes, runtime.table(spark, sf_dir, "mix_targets"))
+    return sizes, runtime.cut(mixing.plan(sizes, runtime.table(spark, sf_dir, "mix_targets")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share within the allowed repeats."""
-    _, planned = _sizes(spark, sf_dir)
-    return planned.where(~F.col("reachable")).select(F.col("name").alias("source"))
+    """Sources that cannot reach their share within the allowed repeats: their supply in the mixture ends before the training
+    does, where the demand that their weights add up to has used up all copies."""
+    return p7_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,8 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of each source."""
+    """Target and reached share of each source, and until when its supply lasts."""
     sizes, planned = _sizes(spark, sf_dir)
-    planned = runtime.cut(planned)
     return mixing.shares(mixing.mixture(sizes, planned), planned)
 
 
