@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,26 +23,22 @@ SEGMENT = 4096
 PASS_CHARS = 4_000_000
 
 
+_CJK = "\u3040-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_OTHER = re.compile(r"[\W_]+")
+_UNIT = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
+
+
+def letters(text: str) -> str:
+    """Letters and digits only, case folded."""
+    return _OTHER.sub("", unicodedata.normalize("NFC", text).casefold())
+
+
 def folded(text: str) -> tuple[str, np.ndarray]:
-    """Letters and digits only, case folded; and for each of them the number of the word it belongs to.
+    """The letters, and for each of them the number of the word it belongs to.
 
     Chinese characters (and other scripts without spaces) are words of their own."""
-    out: list[str] = []
-    words: list[int] = []
-    word, inside = -1, False
-    for ch in unicodedata.normalize("NFC", text).casefold():
-        if not ch.isalnum():
-            inside = False
-        elif "぀" <= ch <= "鿿" or "豈" <= ch <= "﫿" or "\U00020000" <= ch <= "\U0003ffff":
-            word, inside = word + 1, False
-            out.append(ch)
-            words.append(word)
-        else:
-            if not inside:
-                word, inside = word + 1, True
-            out.append(ch)
-            words.append(word)
-    return "".join(out), np.asarray(words, dtype=np.int64)
+    units = _UNIT.findall(unicodedata.normalize("NFC", text).casefold())
+    return "".join(units), np.repeat(np.arange(len(units)), [len(u) for u in units]) if units else np.empty(0, dtype=np.int64)
 
 
 def unspaced(text: str) -> bool:
@@ -82,89 +79,99 @@ def _whole(a: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
+class Table:
+    """Shift table and suffix-hash buckets of pieces of at least `window` characters, searched by their first `window`."""
+
+    def __init__(self, whole: np.ndarray, begin: np.ndarray, window: int, pieces: list[tuple[int, int]]):
+        self.window = window
+        hashes = _hash(whole)  # of the block that begins there
+        self.shift = np.full(1 << BITS, max(1, window - BLOCK + 1), dtype=np.int16)
+        for at in range(window - BLOCK + 1):
+            np.minimum.at(self.shift, hashes[begin + at], window - BLOCK - at)
+        self.bucket: dict[int, list[tuple[int, int]]] = {}  # by the hash of the whole window
+        for key, piece in zip(_whole(whole, begin, window).tolist(), pieces):
+            self.bucket.setdefault(key, []).append(piece)
+        self.keys = np.asarray(sorted(self.bucket), dtype=np.uint64)
+
+    def hits(self, whole: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a piece's window begins, and its hash. Every segment is a cursor: all cursors look at their block at once
+        and move on by its shift."""
+        at, end = [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            for s in range(a, max(a + 1, b - self.window + 1), SEGMENT):
+                if b - s >= self.window:
+                    at.append(s + self.window - BLOCK)
+                    end.append(min(b, s + SEGMENT + self.window - 1) - BLOCK)
+        pos, last = np.asarray(at, dtype=np.int64), np.asarray(end, dtype=np.int64)
+        found: list[np.ndarray] = []
+        while len(pos):
+            move = self.shift[hashes[pos]].astype(np.int64)
+            found.append(pos[move == 0])
+            pos = pos + np.maximum(move, 1)
+            alive = pos <= last
+            pos, last = pos[alive], last[alive]
+        begin = np.unique(np.concatenate(found)) + BLOCK - self.window if found else np.empty(0, dtype=np.int64)
+        keys = _whole(whole, begin, self.window)
+        known = np.isin(keys, self.keys)
+        return begin[known], keys[known]
+
+
 class Matcher:
-    """Shift table and suffix-hash buckets over the pieces of all items.
+    """Tables over the pieces of all items.
 
     Any run of `least` units holds a whole aligned piece of (least + 1) // 2 units, so that searching for the aligned
-    pieces finds every run; each hit is then compared with the item directly and extended to the whole run. All pieces
-    are searched by their first `window` characters, the length of the shortest one."""
+    pieces finds every run; each hit is then compared with the item directly and extended to the whole run. Pieces are
+    put in tables by their length, to the next power of two: a table's window is the length of its shortest piece, and an
+    item of short words does not slow the search for the others."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [i for i in (Item(*x) for x in items) if i.size >= i.least]
-        pieces: list[tuple[int, int]] = []  # item, start in characters
-        lengths: list[int] = []
+        by_size: dict[int, list[tuple[int, int, int]]] = {}  # item, start in characters, length
         for n, item in enumerate(self.items):
             step = (item.least + 1) // 2
             for u in range(0, item.size - step + 1, step):
                 start = int(item.first[u])
                 end = int(item.first[u + step]) if u + step < item.size else len(item.code)
-                pieces.append((n, start))
-                lengths.append(end - start)
-        self.window = min(lengths, default=0)
-        self.shift = np.full(1 << BITS, max(1, self.window - BLOCK + 1), dtype=np.int16)
-        self.bucket: dict[int, list[tuple[int, int]]] = {}  # by the hash of the whole window
-        for n, start in pieces:
-            hashes = _hash(self.items[n].code[start : start + self.window])
-            for at, h in enumerate(hashes):
-                self.shift[h] = min(self.shift[h], len(hashes) - 1 - at)
-            key = _whole(self.items[n].code, np.asarray([start]), self.window)
-            self.bucket.setdefault(int(key[0]), []).append((n, start))
-        self.keys = np.asarray(sorted(self.bucket), dtype=np.uint64)
+                by_size.setdefault((end - start).bit_length(), []).append((n, start, end - start))
+        whole = np.concatenate([i.code for i in self.items]) if self.items else np.empty(0, dtype=np.int64)
+        offset = np.cumsum([0, *[len(i.code) for i in self.items]])
+        self.tables = [Table(whole, np.asarray([offset[n] + start for n, start, _ in pieces]), min(size for *_, size in pieces), [p[:2] for p in pieces]) for _, pieces in sorted(by_size.items())]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(text number, item id, share of the item in runs) of every text with at least SHARE of an item."""
-        if not self.window:
-            return []
         codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) for t in texts]
         whole = np.concatenate(codes) if codes else np.empty(0, dtype=np.int64)
-        if len(whole) < self.window:
+        if len(whole) < BLOCK or not self.tables:
             return []
         starts = np.cumsum([0, *map(len, codes)])
         hashes = _hash(whole)
-        # every segment is a cursor: all cursors look at their block at once and move on by its shift
-        at, end = [], []
-        for a, b in zip(starts[:-1], starts[1:]):
-            for s in range(a, max(a + 1, b - self.window + 1), SEGMENT):
-                if b - s >= self.window:
-                    at.append(s + self.window - BLOCK)
-                    end.append(min(b, s + SEGMENT + self.window - 1) - BLOCK)
-        pos, last = np.asarray(at, dtype=np.int64), np.asarray(end, dtype=np.int64)
-        hits: list[np.ndarray] = []
-        while len(pos):
-            move = self.shift[hashes[pos]].astype(np.int64)
-            hits.append(pos[move == 0])
-            pos = pos + np.maximum(move, 1)
-            alive = pos <= last
-            pos, last = pos[alive], last[alive]
-        found = np.unique(np.concatenate(hits)) if hits else np.empty(0, dtype=np.int64)
-        keys = _whole(whole, found + BLOCK - self.window, self.window)
-        known = np.isin(keys, self.keys)
-        found, keys = found[known], keys[known]
+        hits: list[tuple[int, int, int, int]] = []  # where, item, start in the item, window
+        for table in self.tables:
+            hits += [(b, n, start, table.window) for b, key in zip(*(x.tolist() for x in table.hits(whole, hashes, starts))) for n, start in table.bucket[key]]
+        hits.sort()
+        found = np.asarray([h[0] for h in hits], dtype=np.int64)
         doc_of = np.searchsorted(starts, found, side="right") - 1
         # A run with k whole pieces has at most k (3 step - 2) units, so that fewer hits than this cannot reach the share.
         pieces: dict[tuple[int, int], set[int]] = {}
-        for doc, key in zip(doc_of.tolist(), keys.tolist()):
-            for n, start in self.bucket[key]:
-                pieces.setdefault((doc, n), set()).add(start)
+        for doc, (_, n, start, _) in zip(doc_of.tolist(), hits):
+            pieces.setdefault((doc, n), set()).add(start)
         able = {(doc, n) for (doc, n), s in pieces.items() if len(s) * (3 * ((self.items[n].least + 1) // 2) - 2) >= SHARE * self.items[n].size}
         covered: dict[tuple[int, int], np.ndarray] = {}
         reach: dict[tuple[int, int, int], int] = {}
-        for p, doc, key in zip(found.tolist(), doc_of.tolist(), keys.tolist()):
-            begin = p + BLOCK - self.window
-            for n, start in self.bucket[key]:
-                lane = (doc, n, begin - start)
-                if (doc, n) not in able or reach.get(lane, -1) >= begin:
-                    continue  # too few hits, or inside a run that was already compared
-                item = self.items[n]
-                run = _run(item.code, start, codes[doc], begin - int(starts[doc]), self.window)
-                if run is None:
-                    continue
-                lo, hi = run
-                reach[lane] = begin - start + hi
-                a = int(np.searchsorted(item.first, lo))  # whole units only
-                b = int(item.unit[hi]) if hi < len(item.code) else item.size
-                if b - a >= item.least:
-                    covered.setdefault((doc, n), np.zeros(item.size, dtype=bool))[a:b] = True
+        for doc, (begin, n, start, window) in zip(doc_of.tolist(), hits):
+            lane = (doc, n, begin - start)
+            if (doc, n) not in able or reach.get(lane, -1) >= begin:
+                continue  # too few hits, or inside a run that was already compared
+            item = self.items[n]
+            run = _run(item.code, start, codes[doc], begin - int(starts[doc]), window)
+            if run is None:
+                continue
+            lo, hi = run
+            reach[lane] = begin - start + hi
+            a = int(np.searchsorted(item.first, lo))  # whole units only
+            b = int(item.unit[hi]) if hi < len(item.code) else item.size
+            if b - a >= item.least:
+                covered.setdefault((doc, n), np.zeros(item.size, dtype=bool))[a:b] = True
         out = []
         for (doc, n), units in covered.items():
             share = units.sum() / self.items[n].size
@@ -202,12 +209,12 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for k in range(passes):
         part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else wanted
-        block = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])  # about PASS_CHARS characters
+        block = spark.sparkContext.broadcast(Matcher([(r.item_id, r.text) for r in part.collect()]))  # about PASS_CHARS characters, as arrays
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block.value)
+            matcher = block.value
             for batch in batches:
-                texts = [folded(t)[0] for t in batch["text"]]
+                texts = [letters(t) for t in batch["text"]]
                 ids = batch["doc_id"].to_numpy()
                 yield pd.DataFrame([(ids[d], i, s) for d, i, s in matcher.search(texts)], columns=["doc_id", "item_id", "share"])
 

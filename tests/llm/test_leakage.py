@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from rollframe.llm import leakage as k
 
@@ -74,3 +75,28 @@ def test_against_brute_force():
     assert want and want <= got
     # beyond word boundaries of the document nothing else may be found
     assert all(any(" ".join(items[n][1].split()[a : a + 8]).replace(" ", "") in texts[d].replace(" ", "") for a in range(17)) for d, n in got - want)
+
+
+def test_one_item_of_short_words_does_not_slow_the_others():
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(4, 9))) for _ in range(3000)]
+    items = [(n, " ".join(rnd.choices(words, k=25))) for n in range(300)]
+    short = (999, "it is a so we go on to be as is it so do go up at us or no if he is me")
+    texts = [" ".join(rnd.choices(words, k=60)) for _ in range(400)] + [items[5][1], short[1]]
+    clean = [k.letters(t) for t in texts]
+
+    def timed(m):
+        m.search(clean)
+        began = time.perf_counter()
+        got = m.search(clean)
+        return time.perf_counter() - began, {(d, n) for d, n, _ in got}
+
+    (before, _), (after, got) = timed(k.Matcher(items)), timed(k.Matcher([*items, short]))
+    assert got == {(400, 5), (401, 999)}
+    assert after < 4 * before + 0.2
+
+
+def test_folding():
+    for text in ["Straße ÉÑ 12_3 中文abc x\u0301", "", "\u200b!", "ﬁne ½ ²"]:
+        s, words = k.folded(text)
+        assert s == k.letters(text) and len(words) == len(s)
