@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +47,54 @@ def alnum(c) -> Column:
 def tool_blocks(c) -> Column:
     """Array with the inner text of each closed <tool_call> block."""
     return F.regexp_extract_all(c, F.lit(CALL), 1)
+
+
+def objects_in(text: str) -> Iterator[dict]:
+    """The JSON objects that stand anywhere in a text, inner ones as well, in the order in which they begin.
+
+    Braces are paired by a stack; a pair whose inside is no JSON object is passed over."""
+    opened: list[int] = []
+    pairs: list[tuple[int, int]] = []
+    for at, ch in enumerate(text):
+        if ch == "{":
+            if text[at + 1 : at + 40].lstrip()[:1] in ('"', "}", ""):  # else no object begins here
+                opened.append(at)
+        elif ch == "}":
+            # braces inside strings may not pair up: every opening one that is left is tried
+            for first in reversed(opened):
+                try:
+                    found = json.loads(text[first : at + 1])
+                except ValueError:
+                    continue
+                if isinstance(found, dict):
+                    pairs.append((first, at + 1))
+                    opened.remove(first)
+                    break
+    for first, last in sorted(pairs):
+        yield json.loads(text[first:last])
+
+
+def bare_calls(text: str, tool: str) -> list[dict]:
+    """The objects in a text that name a tool, as calls."""
+    out = []
+    for found in objects_in(text):
+        inner = found if "name" in found else found.get("function")
+        if not isinstance(inner, dict):
+            continue
+        name, args = inner.get("name"), inner.get("arguments")
+        if isinstance(args, str):
+            try:
+                args = json.loads(args)
+            except ValueError:
+                args = None
+        ok = isinstance(args, dict) and "action" in args
+        action = args["action"] if ok else None
+        out.append({"name": name if name is None else str(name), "action": action.strip().upper() if isinstance(action, str) else None, "malformed": not ok, "wrong_name": name != tool})
+    return out
+
+
+def brace_slice(c) -> Column:
+    """From the first opening to the last closing brace, code fences and all else around it left out; null without braces."""
+    first, size = F.instr(c, "{"), F.length(c)
+    last = size - F.instr(F.reverse(c), "}") + 1
+    return F.when((first > 0) & (F.instr(c, "}") > 0) & (last > first), F.substring(c, first, last - first + 1))

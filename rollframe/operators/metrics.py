@@ -5,6 +5,7 @@ holds a third of all rows is one row per task before the shuffle."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +18,15 @@ def value(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def once(rollouts: DataFrame) -> DataFrame:
+def once(rollouts: DataFrame, derive: dict[str, Column] | None = None) -> DataFrame:
     """Each rollout_id once, with case_id and scenario in one spelling and the success flags.
 
     final: the final action is right; safe: final and no hard gate; process: safe and compliant, which falls back to
-    required_tool_rate >= 1 where the flag is missing. Nulls count as not successful."""
-    rows = rollouts.dropDuplicates(["rollout_id"])
+    required_tool_rate >= 1 where the flag is missing. Nulls count as not successful.
+    derive: columns worked out of the rows before that; with them the output is left out, so that no text is shuffled to
+    find the repeats, only what is needed of it."""
+    rows = rollouts.withColumns(derive).drop("output") if derive else rollouts
+    rows = rows.dropDuplicates(["rollout_id"])
     final = F.coalesce(value("final_action_correct"), F.lit(0.0)) > 0
     safe = final & (F.coalesce(value("hard_gate"), F.lit(0.0)) == 0)
     compliant = F.coalesce(value("process_compliant"), (value("required_tool_rate") >= 1).cast("double"), F.lit(0.0)) >= 1
@@ -38,6 +42,20 @@ def once(rollouts: DataFrame) -> DataFrame:
     )
 
 
+def output_hash() -> Column:
+    """8 bytes for an output; white space does not make a difference, null is like ''."""
+    return F.xxhash64(F.coalesce(text.squeeze_space("output"), F.lit("")))
+
+
+def flat(rollouts: DataFrame, tool: str) -> DataFrame:
+    """once, with what comparisons need of the output in place of it: output_hash, calls, wrong_names, malformed."""
+    listed = call_list(F.col("output"), tool)
+    n = lambda flag: F.size(F.filter("_calls", lambda c: c[flag]))
+    rows = rollouts.withColumns({"output_hash": output_hash(), "_calls": F.coalesce(listed, F.array())})
+    rows = rows.withColumns({"calls": F.size("_calls"), "wrong_names": n("wrong_name"), "malformed": n("malformed")}).drop("_calls", "output")
+    return once(rows)
+
+
 def per_case(rows: DataFrame, keys: list[str]) -> DataFrame:
     """First level: per keys and case the number of rollouts, of each success, and the spread of the reward."""
     n = lambda c: F.count_if(c)
@@ -79,9 +97,8 @@ def evaluation_sets(rows: DataFrame, key: str) -> DataFrame:
 def output_diversity(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over cases of distinct outputs / outputs, and share of cases with several outputs that are all the same.
 
-    White space does not make a difference; null outputs are outputs like ''. Texts are shuffled as 8-byte hashes."""
-    h = F.xxhash64(F.coalesce(text.squeeze_space("output"), F.lit("")))
-    each = rows.where(F.col("case_id").isNotNull()).groupBy(*keys, "case_id", h.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    rows: once, with output_hash derived, so that texts are shuffled as 8 bytes."""
+    each = rows.where(F.col("case_id").isNotNull()).groupBy(*keys, "case_id", "output_hash").agg(F.count(F.lit(1)).alias("_n"))
     cases = each.groupBy(*keys, "case_id").agg(F.count(F.lit(1)).alias("kinds"), F.sum("_n").alias("n"))
     same = (F.col("n") > 1) & (F.col("kinds") == 1)
     return cases.groupBy(*keys).agg(F.avg(F.col("kinds") / F.col("n")).alias("unique_output_rate"), F.avg(same.cast("double")).alias("identical_group_rate"))
@@ -135,18 +152,48 @@ def length_bias(rows: DataFrame, keys: list[str], length: Column, outcome: str,
 ACTIONS = ("ASK_USER", "POLICY_SEARCH", "ELIGIBILITY_CHECK", "MATERIAL_CHECK", "RISK_CHECK", "SUBMIT", "REFUSE")
 
 
-def calls(rows: DataFrame, keep: list[str], tool: str = "government_service") -> DataFrame:
-    """One row per closed tool-call block: keep columns, call_no, name, action (upper case), malformed, wrong_name.
+def call_list(output: Column, tool: str) -> Column:
+    """The closed tool-call blocks of an output as an array of (name, action in upper case, malformed, wrong_name).
+
+    Malformed: no JSON object, neither name nor function in it, or arguments (an object, or a text holding one) without
+    action. wrong_name: it names another tool; a wrong name and bad arguments both count."""
+
+    def one(block: Column) -> Column:
+        v = F.try_parse_json(block)
+        v = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+        at = lambda path, kind="variant": F.try_variant_get(v, path, kind)
+        direct = at("$.name").isNotNull()
+        named = direct | F.coalesce(F.schema_of_variant(at("$.function")).startswith("OBJECT"), F.lit(False))
+        name = F.when(direct, at("$.name", "string")).otherwise(at("$.function.name", "string"))
+        raw, told = (F.when(direct, at(f"$.arguments{x}", k)).otherwise(at(f"$.function.arguments{x}", k)) for x, k in (("", "variant"), ("", "string")))
+        args = F.coalesce(F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(told)), raw)
+        args = F.when(F.schema_of_variant(args).startswith("OBJECT"), args)
+        ok = F.coalesce(named, F.lit(False)) & F.try_variant_get(args, "$.action", "variant").isNotNull()
+        return F.struct(
+            name.alias("name"), F.when(ok, F.upper(F.trim(F.try_variant_get(args, "$.action", "string")))).alias("action"), (~ok).alias("malformed"),
+            (F.coalesce(named, F.lit(False)) & ~name.eqNullSafe(F.lit(tool))).alias("wrong_name"),
+        )
+
+    return F.transform(text.tool_blocks(output), one)
+
+
+def calls(rollouts: DataFrame, keep: list[str], tool: str) -> DataFrame:
+    """One row per closed tool-call block of each rollout: keep columns, call_no, name, action, malformed, wrong_name."""
+    rows = once(rollouts, {"_calls": call_list(F.col("output"), tool)})
+    return rows.select(*keep, F.posexplode("_calls").alias("call_no", "c")).select(*keep, "call_no", "c.*")
 
-    Malformed: no JSON object, or arguments (an object, or a text holding one) without action. A wrong name and bad
-    arguments both count."""
-    e = rows.select(*keep, F.posexplode(text.tool_blocks(F.col("output"))).alias("call_no", "block"))
-    v = F.try_parse_json("block")
-    e = e.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
-    name = F.coalesce(F.try_variant_get("v", "$.name", "string"), F.try_variant_get("v", "$.function.name", "string"))
-    args = F.coalesce(F.try_parse_json(F.try_variant_get("v", "$.arguments", "string")), F.try_variant_get("v", "$.arguments", "variant"), F.try_variant_get("v", "$.function.arguments", "variant"))
-    e = e.withColumns({"name": name, "action": F.upper(F.trim(F.try_variant_get(args, "$.action", "string")))})
-    return e.select(*keep, "call_no", "name", "action", F.col("action").isNull().alias("malformed"), (F.coalesce("name", F.lit("")) != tool).alias("wrong_name"))
+
+def actions(output: Column, tool: str) -> Column:
+    """The calls of an output: those of its closed blocks, or where there is no block the JSON objects that stand in the
+    text and look like a call (unparsable braces are passed over). Only outputs of the second kind go through Python."""
+
+    @F.pandas_udf("array<struct<name: string, action: string, malformed: boolean, wrong_name: boolean>>")
+    def bare(outputs: pd.Series, tools: pd.Series) -> pd.Series:
+        return pd.Series([None if o is None else text.bare_calls(o, t) for o, t in zip(outputs, tools)])
+
+    blocks = text.tool_blocks(output)
+    loose = F.when((F.size(blocks) == 0) & F.contains(output, F.lit("{")), output)
+    return F.when(F.size(blocks) > 0, call_list(output, tool)).otherwise(F.coalesce(bare(loose, F.lit(tool)), F.array()))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -160,3 +207,21 @@ def advantages(rows: DataFrame, group: list[str], outcome: str) -> DataFrame:
     stats = rows.groupBy(*group).agg(F.avg(outcome).alias("_m"), F.stddev_pop(outcome).alias("_s"))
     on = rows.join(stats, group)
     return on.withColumn("advantage", F.when(F.col("_s") > 1e-12, (F.col(outcome) - F.col("_m")) / F.col("_s")).when(F.col(outcome).isNotNull(), 0.0)).drop("_m", "_s")
+
+
+def group_spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, case_id, n, reward_std): the spread of the reward in each case's group; 0 without a reward."""
+    g = rows.where(F.col("case_id").isNotNull()).groupBy(*keys, "case_id")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_pop("reward_value"), F.lit(0.0)).alias("reward_std"))
+
+
+def informative(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Of group_spread, per keys: groups, those whose rewards differ, both rates and the rollouts in informative groups.
+
+    Over no groups at all (keys is empty and there are no rows) the informative rate is 0 and that of zero variance 1."""
+    differs = F.col("reward_std") > 1e-12
+    n = F.count(F.lit(1))
+    return groups.groupBy(*keys).agg(
+        n.alias("groups"), F.count_if(differs).alias("informative"), ratio(F.count_if(differs), n).alias("informative_rate"), F.when(n > 0, F.count_if(~differs) / n).otherwise(1.0).alias("zero_variance_rate"),
+        F.coalesce(F.sum(F.when(differs, F.col("n")).otherwise(0)), F.lit(0)).alias("informative_trajectories"),
+    )

@@ -17,7 +17,8 @@ query = registering(QUERIES, SQL)
 
 #: The rollouts as the SQL sees them: once each, spelled alike, with the success flags.
 ONCE = r"""
-    v AS (SELECT DISTINCT ON (rollout_id) rollout_id, run_id, step, output, score, reward, hard_gate, required_tool_rate, process_compliant, judge_used, judge_score, judge_clarity,
+    v AS (SELECT DISTINCT ON (rollout_id) rollout_id, run_id, step, output, environment_reward, final_action_correct, tool_results_support_final, tool_result_conflict, repeated_tool_call, tool_order_violation, eligibility_before_slots_complete,
+            material_check_called, risk_check_called, unsafe_submit, illegal_action_attempt_rate, trailing_action_rate, premature_submit, missing_required_tool, score, reward, hard_gate, required_tool_rate, process_compliant, judge_used, judge_score, judge_clarity,
             judge_professionalism, rounds, illegal_action_count, trailing_action_count, parsed_action_count, split, matter_id,
             nullif(trim(regexp_replace(lower(case_id), '[^\p{L}\p{N}]+', '_', 'g'), '_'), '') AS case_id, nullif(lower(trim(scenario_type)), '') AS scenario,
             CASE WHEN NOT isnan(environment_reward) THEN environment_reward END AS reward_value, coalesce(final_action_correct, 0) > 0 AS final
@@ -38,8 +39,16 @@ _METRICS = """
 _DOUBLES = "pass_at_1 safe_pass_at_1 process_pass_at_1 pass_at_k safe_pass_at_k process_pass_at_k mean_reward group_reward_std informative_group_rate"
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.once(runtime.table(spark, sf_dir, "rollouts"))
+#: The tool of the rollouts.
+TOOL = "government_service"
+
+
+def rollouts(spark: SparkSession, sf_dir: str, derive: dict | None = None) -> DataFrame:
+    return m.once(runtime.table(spark, sf_dir, "rollouts"), derive)
+
+
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.flat(runtime.table(spark, sf_dir, "rollouts"), TOOL)
 
 
 @query(f"WITH {ONCE}, {_LEVEL.format(keys='scenario,')} SELECT scenario, {_METRICS} FROM c GROUP BY scenario", _DOUBLES)
@@ -112,7 +121,7 @@ def success_predicates(spark, d):
     c AS (SELECT scenario, case_id, count(*) AS n, count(DISTINCT o) AS kinds FROM x GROUP BY ALL)
     SELECT scenario, avg(kinds / CAST(n AS DOUBLE)) AS unique_output_rate, avg(CASE WHEN n > 1 AND kinds = 1 THEN 1.0::DOUBLE ELSE 0 END) AS identical_group_rate FROM c GROUP BY scenario""", "unique_output_rate identical_group_rate")
 def output_diversity(spark, d):
-    return m.output_diversity(rollouts(spark, d), ["scenario"])
+    return m.output_diversity(rollouts(spark, d, {"output_hash": m.output_hash()}), ["scenario"])
 
 
 @query(f"""WITH {ONCE}, x AS (SELECT run_id, length(output) AS l, reward_value AS o, rollout_id FROM r WHERE output IS NOT NULL AND reward_value IS NOT NULL),
@@ -120,29 +129,31 @@ def output_diversity(spark, d):
     SELECT run_id, avg(l) AS mean_length, CASE WHEN stddev_pop(l) > 0 AND stddev_pop(o) > 0 THEN covar_pop(l, o) / (stddev_pop(l) * stddev_pop(o)) ELSE 0 END AS length_correlation,
         avg(CASE WHEN rn <= greatest(1, n // 4) THEN o END) AS shortest_quarter, avg(CASE WHEN rn > n - greatest(1, n // 4) THEN o END) AS longest_quarter FROM y GROUP BY run_id""", "mean_length length_correlation shortest_quarter longest_quarter")
 def length_reward_bias(spark, d):
-    return m.length_bias(rollouts(spark, d), ["run_id"], F.length("output"), "reward_value", "rollout_id")
+    return m.length_bias(rollouts(spark, d, {"chars": F.length("output")}), ["run_id"], F.col("chars"), "reward_value", "rollout_id")
 
 
-_CALLS = r"""b AS (SELECT rollout_id, run_id, unnest(regexp_extract_all(output, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1)) AS block FROM r),
-    j AS (SELECT *, CASE WHEN json_valid(block) AND json_type(block) = 'OBJECT' THEN block END AS o FROM b),
-    k AS (SELECT rollout_id, run_id, coalesce(json_extract_string(o, '$.name'), '') AS name, upper(trim(json_extract_string(o, '$.arguments.action'))) AS action FROM j)"""
+CALLS = r"""b AS (SELECT rollout_id, run_id, unnest(regexp_extract_all(output, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1)) AS block FROM r),
+    j AS (SELECT *, CASE WHEN json_valid(block) THEN CASE WHEN json_type(block) = 'OBJECT' THEN block END END AS o FROM b),
+    h AS (SELECT rollout_id, run_id, CASE WHEN list_contains(json_keys(o), 'name') THEN o WHEN json_type(o, '$.function') = 'OBJECT' THEN json_extract(o, '$.function') END AS f FROM j),
+    a AS (SELECT *, CASE json_type(f, '$.arguments') WHEN 'OBJECT' THEN json_extract(f, '$.arguments') WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(f, '$.arguments')) THEN CASE WHEN json_type(json_extract_string(f, '$.arguments')) = 'OBJECT' THEN json_extract_string(f, '$.arguments')::JSON END END END AS args FROM h),
+    k AS (SELECT rollout_id, run_id, f IS NOT NULL AND json_extract_string(f, '$.name') IS DISTINCT FROM 'government_service' AS wrong_name, f IS NULL OR args IS NULL OR NOT list_contains(json_keys(args), 'action') AS malformed, upper(trim(json_extract_string(args, '$.action'))) AS action FROM a)"""
 
 
-@query(f"WITH {ONCE}, {_CALLS} SELECT run_id, coalesce(action, '(none)') AS action, count(*) AS calls, count(*) / CAST(sum(count(*)) OVER (PARTITION BY run_id) AS DOUBLE) AS share FROM k GROUP BY run_id, coalesce(action, '(none)')")
+@query(f"WITH {ONCE}, {CALLS} SELECT run_id, coalesce(action, '(none)') AS action, count(*) AS calls, count(*) / CAST(sum(count(*)) OVER (PARTITION BY run_id) AS DOUBLE) AS share FROM k GROUP BY run_id, coalesce(action, '(none)')")
 def action_distribution(spark, d):
     """Histogram of the actions and their shares in a run; the totals are of the few rows per run that are left."""
     from pyspark.sql import Window
 
-    e = m.calls(rollouts(spark, d), ["run_id"])
+    e = m.calls(runtime.table(spark, d, "rollouts"), ["run_id"], TOOL)
     h = e.groupBy("run_id", F.coalesce("action", F.lit("(none)")).alias("action")).agg(F.count(F.lit(1)).alias("calls"))
     return h.withColumn("share", F.col("calls") / F.sum("calls").over(Window.partitionBy("run_id")))
 
 
-@query(f"""WITH {ONCE}, {_CALLS} SELECT run_id, count(*) AS calls, count(CASE WHEN name <> 'government_service' THEN 1 END) / CAST(greatest(1, count(*)) AS DOUBLE) AS invalid_name_rate,
-    count(CASE WHEN action IS NULL THEN 1 END) / CAST(greatest(1, count(*)) AS DOUBLE) AS malformed_rate FROM k GROUP BY run_id""")
+@query(f"""WITH {ONCE}, {CALLS} SELECT run_id, count(*) AS calls, count(CASE WHEN wrong_name THEN 1 END) / CAST(greatest(1, count(*)) AS DOUBLE) AS invalid_name_rate,
+    count(CASE WHEN malformed THEN 1 END) / CAST(greatest(1, count(*)) AS DOUBLE) AS malformed_rate FROM k GROUP BY run_id""")
 def tool_call_stats(spark, d):
     n = F.count(F.lit(1))
-    return m.calls(rollouts(spark, d), ["run_id"]).groupBy("run_id").agg(n.alias("calls"), m.ratio(F.count_if("wrong_name"), n).alias("invalid_name_rate"), m.ratio(F.count_if("malformed"), n).alias("malformed_rate"))
+    return m.calls(runtime.table(spark, d, "rollouts"), ["run_id"], TOOL).groupBy("run_id").agg(n.alias("calls"), m.ratio(F.count_if("wrong_name"), n).alias("invalid_name_rate"), m.ratio(F.count_if("malformed"), n).alias("malformed_rate"))
 
 
 @query(f"""WITH {ONCE} SELECT run_id, sum(trailing_action_count) / greatest(1, sum(parsed_action_count)) AS trailing_rate, sum(illegal_action_count) / greatest(1, sum(parsed_action_count)) AS illegal_rate FROM r GROUP BY run_id""")
@@ -170,3 +181,41 @@ def scalars_on_every_step(spark, d):
     rows = rollouts(spark, d)
     t = rows.agg(F.count_distinct("run_id").alias("runs"), F.max("step").alias("last_step"))
     return rows.groupBy("run_id", "step").agg(F.count(F.lit(1)).alias("rollouts")).crossJoin(F.broadcast(t))  # one row
+
+
+@query(f"""WITH {ONCE}, x AS (SELECT rollout_id, regexp_matches(coalesce(output, ''), '(?is)<tool_call>\\s*(.*?)\\s*</tool_call>') AS has_block, contains(coalesce(output, ''), '{{') AS has_brace FROM r)
+    SELECT has_block, count(*) AS rollouts FROM x GROUP BY has_block""")
+def outputs_with_blocks(spark, d):
+    """How many outputs have closed blocks; only the others are searched for bare JSON calls."""
+    rows = rollouts(spark, d, {"has_block": F.size(F.coalesce(m.text.tool_blocks(F.col("output")), F.array())) > 0})
+    return rows.groupBy("has_block").agg(F.count(F.lit(1)).alias("rollouts"))
+
+
+@query(f"WITH {ONCE}, {CALLS} SELECT run_id, rollout_id, count(*) AS calls, count(CASE WHEN malformed THEN 1 END) AS malformed FROM k GROUP BY ALL")
+def tool_call_extract(spark, d):
+    """The calls of each rollout: closed blocks, else bare JSON objects that look like calls (none of the test outputs has any)."""
+    rows = rollouts(spark, d, {"acts": m.actions(F.col("output"), TOOL)}).where(F.size("acts") > 0)
+    return rows.select("run_id", "rollout_id", F.size("acts").cast("long").alias("calls"), F.size(F.filter("acts", lambda c: c["malformed"])).cast("long").alias("malformed"))
+
+
+_SPREAD = f"WITH {ONCE}, g AS (SELECT run_id, step, case_id, coalesce(stddev_pop(reward_value), 0) AS sd, count(*) AS n FROM r WHERE case_id IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"{_SPREAD} SELECT run_id, step, case_id, n, sd AS reward_std FROM g", "reward_std")
+def group_reward_std(spark, d):
+    return m.group_spread(rollouts(spark, d), ["run_id", "step"])
+
+
+@query(f"""{_SPREAD} SELECT run_id, step, count(*) AS groups, count(CASE WHEN sd > 1e-12 THEN 1 END) AS informative, count(CASE WHEN sd > 1e-12 THEN 1 END) / CAST(count(*) AS DOUBLE) AS informative_rate, count(CASE WHEN sd <= 1e-12 THEN 1 END) / CAST(count(*) AS DOUBLE) AS zero_variance_rate,
+    CAST(sum(CASE WHEN sd > 1e-12 THEN n ELSE 0 END) AS BIGINT) AS informative_trajectories FROM g GROUP BY run_id, step""", "informative_rate zero_variance_rate")
+def informative_groups(spark, d):
+    return m.informative(m.group_spread(rollouts(spark, d), ["run_id", "step"]), ["run_id", "step"])
+
+
+@query(f"""WITH {ONCE} SELECT run_id, sum(CASE WHEN coalesce(missing_required_tool, 0) > 0 AND regexp_matches(lower(coalesce(output, '')), '"(submit|refuse)"') THEN 1 ELSE 0 END)
+    / CAST(greatest(1, sum(CASE WHEN regexp_matches(lower(coalesce(output, '')), '"(submit|refuse)"') THEN 1 ELSE 0 END)) AS DOUBLE) AS missing_tool_final_rate FROM r GROUP BY run_id""", "missing_tool_final_rate")
+def missing_tool_final_rate(spark, d):
+    """Of the outputs with a final action the share in which a required tool was never called."""
+    rows = rollouts(spark, d, {"has_final": F.rlike(F.lower(F.coalesce("output", F.lit(""))), F.lit('"(submit|refuse)"'))})
+    final = F.col("has_final")
+    return rows.groupBy("run_id").agg(m.ratio(F.count_if(final & (F.coalesce(m.value("missing_required_tool"), F.lit(0.0)) > 0)), F.count_if(final)).alias("missing_tool_final_rate"))

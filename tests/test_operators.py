@@ -14,7 +14,6 @@ from rollframe.operators import dialogue as dl
 from rollframe.operators import metrics as m
 from rollframe.operators import quality as q
 from rollframe.operators import sequences as sq
-from rollframe.plans import comparison
 from rollframe.sources import files
 from rollframe.streaming import episodes as ep
 
@@ -22,7 +21,7 @@ ROLLOUT = "rollout_id long, case_id string, scenario_type string, environment_re
 
 
 def rollouts(spark, rows):
-    return m.once(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ROLLOUT))
+    return m.once(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ROLLOUT), {"output_hash": m.output_hash()})
 
 
 def test_two_level_success(spark):
@@ -53,8 +52,19 @@ def test_length_bias_ties_follow_the_tie_column(spark):
 def test_calls(spark):
     call = lambda o: f"<tool_call>{o if isinstance(o, str) else json.dumps(o)}</tool_call>"
     text_ = call({"name": "government_service", "arguments": {"action": "submit"}}) + call({"name": "other", "arguments": json.dumps({"action": "X"})}) + call({"function": {"name": "government_service", "arguments": {}}}) + call("{") + "<tool_call>"
-    got = [(r.action, r.malformed, r.wrong_name) for r in m.calls(spark.createDataFrame([(1, text_), (2, None)], "id int, output string"), ["id"]).orderBy("call_no").collect()]
-    assert got == [("SUBMIT", False, False), ("X", False, True), (None, True, False), (None, True, True)]
+    rows = spark.createDataFrame([(1, "a", "s", 1.0, 1.0, 0.0, 1.0, None, text_), (2, "a", "s", 1.0, 1.0, 0.0, 1.0, None, None)], ROLLOUT)
+    got = [(r.action, r.malformed, r.wrong_name) for r in m.calls(rows.unionByName(rows), ["rollout_id"], "government_service").orderBy("call_no").collect()]
+    # what is no JSON names no tool: it is malformed, not of a wrong name
+    assert got == [("SUBMIT", False, False), ("X", False, True), (None, True, False), (None, True, False)]
+
+
+def test_bare_calls_count_only_without_blocks(spark):
+    bare = 'I will {call} now: {"name": "t", "arguments": {"action": "submit", "note": "a } b { c"}} and {"function": {"name": "u", "arguments": "{\\"action\\": \\"x\\"}"}} then {"no": 1} {"name": "t", "arguments": "{"} {"name": "t"'
+    block = '<tool_call>{"name": "t", "arguments": {"action": "refuse"}}</tool_call>'
+    df = spark.createDataFrame([(1, bare), (2, bare + block), (3, None), (4, ""), (5, "{" * 20_000 + "}" * 20_000)], "id int, output string")
+    got = {r.id: [(x.action, x.malformed, x.wrong_name) for x in r.acts] for r in df.select("id", m.actions(F.col("output"), "t").alias("acts")).collect()}
+    # an inner object that looks like a call counts as well: that of function
+    assert got == {1: [("SUBMIT", False, False), ("X", False, True), ("X", False, True), (None, True, False)], 2: [("REFUSE", False, False)], 3: [], 4: [], 5: []}
 
 
 def test_wilson_and_t(spark):
@@ -65,18 +75,50 @@ def test_wilson_and_t(spark):
     assert t == pytest.approx([12.706, 2.086, 2.0756, 2.06, 2.06, 2.042, 1.96])
 
 
-def test_seeds_and_bootstrap(spark):
-    rows = [("m", s, 0.1) for s in (42, 43, 44)] + [("n", 42, 0.1)]
-    r = c.over_seeds(spark.createDataFrame(rows, "metric string, seed int, delta double"), ["metric"], 3).collect()
-    assert len(r) == 1 and r[0].delta_mean == pytest.approx(0.1) and r[0].delta_std == pytest.approx(0) and r[0].positive_rate == 1.0
-    df = spark.createDataFrame([("m", f"c{i}", 0.3) for i in range(20)] + [("one", "c", 1.0)], "metric string, case_id string, delta double")
-    b = {r.metric: (r.ci_low, r.ci_high, r.pairs) for r in c.bootstrap(df, ["metric"], "case_id", 200).collect()}
-    assert b["m"][:2] == pytest.approx((0.3, 0.3)) and b["one"] == (None, None, 1)
+def test_over_seeds(spark):
+    shape = "metric string, seed int, baseline double, candidate double, delta double, higher_is_better boolean"
+    rows = [("m", s, 0.5, 0.6, 0.1, True) for s in (42, 43, 44)] + [("n", 42, 0.0, 0.1, 0.1, True)] + [("down", s, 1.0, 1 - d, -d, False) for s, d in ((42, 0.1), (43, 0.2), (44, -0.3))]
+    got = {r.metric: r for r in c.over_seeds(spark.createDataFrame(rows, shape), ["metric"], 3).collect()}
+    assert set(got) == {"m", "down"}
+    assert got["m"].delta_mean == pytest.approx(0.1) and got["m"].delta_std == pytest.approx(0) and (got["m"].desired_sign_rate, got["m"].verdict) == (1.0, "improved")
+    assert got["down"].desired_sign_rate == pytest.approx(2 / 3) and got["down"].verdict == "inconclusive" and got["down"].seed_deltas == "42=-0.100000 43=-0.200000 44=0.300000"
+    one = c.over_seeds(spark.createDataFrame(rows[:1], shape), ["metric"], 1).first()
+    assert one.delta_std == 0 and one.ci_low == -float("inf") and one.verdict == "inconclusive"
+    with pytest.raises(Exception, match="disagree"):
+        c.over_seeds(spark.createDataFrame([*rows[:2], ("m", 44, 0.5, 0.6, 0.1, False)], shape), ["metric"], 3).collect()
+
+
+def test_bootstrap(spark):
+    rnd = random.Random(6)
+    rows = [(f"c{i}", 0.3, rnd.gauss(1, 2), None if i else 1.0, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, same double, wide double, one double, none double")
+    names = ["same", "wide", "one", "none"]
+    got = {r.metric: r for r in c.bootstrap(df, [], "k", names).collect()}
+    assert (got["same"].ci_low, got["same"].ci_high, got["same"].pairs) == (pytest.approx(0.3), pytest.approx(0.3), 400)
+    assert (got["one"].ci_low, got["one"].ci_high, got["one"].pairs) == (None, None, 1) and "none" not in got
+    w = [r[2] for r in rows]
+    mean = sum(w) / 400
+    margin = 1.96 * (sum((x - mean) ** 2 for x in w) / 400) ** 0.5 / 20
+    assert got["wide"].ci_low == pytest.approx(mean - margin, abs=margin / 8) and got["wide"].ci_high == pytest.approx(mean + margin, abs=margin / 8)
+    other = {r.metric: r for r in c.bootstrap(df.repartition(5, "wide"), [], "k", names).collect()}  # weights are the rows' own
+    assert all(other[n].ci_low == pytest.approx(got[n].ci_low) for n in ("same", "wide"))
+    by = c.bootstrap(df.withColumn("g", F.when(F.col("wide") > 1, "x")), ["g"], "k", ["same"], 200).collect()
+    assert {(r.g, r.pairs) for r in by} == {("x", sum(x > 1 for x in w)), (None, sum(x <= 1 for x in w))}
+    assert c.bootstrap(df.limit(0), [], "k", names).collect() == []
 
 
 @pytest.mark.parametrize(("rows", "want"), [([("g", "improved")], "invalid"), ([("g", "regressed"), ("h", "improved")], "reject"), ([("g", "improved"), ("h", "inconclusive")], "promote"), ([("g", "inconclusive"), ("h", "improved")], "needs_more_evidence")])
 def test_decision(spark, rows, want):
-    assert c.decide(spark.createDataFrame(rows, "metric string, verdict string"), ["g", "h"], ["g"]).first().decision == want
+    got = c.decide(spark.createDataFrame(rows, "metric string, verdict string"), gates=("g", "h"), goals=("g",)).first()
+    assert got.decision == want and got.missing == ("h" if want == "invalid" else "")
+
+
+def test_decision_over_scenarios_and_seeds(spark):
+    overall = lambda rate: spark.createDataFrame([("g", "improved", rate), ("h", "inconclusive", 0.0)], "metric string, verdict string, desired_sign_rate double")
+    scenario = lambda v: spark.createDataFrame([("risk", "h", v), ("risk", "other", "regressed")], "scenario string, metric string, verdict string")
+    run = lambda rate, v: c.decide(overall(rate), scenario(v), ("g", "h"), ("g",), c.SIGN_RATE).first()
+    assert run(0.67, "improved").decision == "promote" and run(0.6, "improved").decision == "needs_more_evidence"
+    assert tuple(run(1.0, "regressed"))[0:4] == ("reject", "", "", "risk:h")
 
 
 def test_verdict(spark):
@@ -87,10 +129,22 @@ def test_verdict(spark):
 def test_budget(spark):
     some = spark.createDataFrame([(f"c{i}", 0.25) for i in range(40)], "case_id string, p double")
     none = some.withColumn("p", F.lit(0.0))
-    sizes = [4, 8, 16]
+    sizes = [1, 2, 4, 8, 16]
     assert c.recommend(c.success_at(some, "p", sizes), 4).first().recommended_n == 8
-    assert c.recommend(c.success_at(none, "p", sizes), 4).first().recommended_n == 4
+    assert tuple(c.recommend(c.success_at(none, "p", sizes), 4).first()) == ("keep_current_n", 4, 1.0, None, None)
+    # gains below the current size do not count, the gain at the next one is over the current one
+    steps = spark.createDataFrame([(1, 0.1, 0.1), (2, 0.5, 0.5), (4, 0.5, 0.5), (8, 0.51, 0.6), (16, 0.6, 0.7)], "target_n int, success double, mixed double")
+    got = c.recommend(steps, 4).first()
+    assert (got.recommended_n, got.cost_multiplier) == (16, 4.0) and got.success_gain == pytest.approx(0.09)
     assert [r.success for r in c.success_at(none, "p", [16]).collect()] == [0.0]
+    ends = {(r.target_n, r.measure): (r.ci_low, r.ci_high) for r in c.budget_bootstrap(some, "case_id", "p", [4], 200).collect()}
+    assert ends[4, "success"] == pytest.approx((1 - 0.75**4,) * 2) and ends[4, "mixed"] == pytest.approx((1 - 0.25**4 - 0.75**4,) * 2)
+
+
+def test_steps_that_cannot_be_judged_have_a_reason(spark):
+    rows = [(1, x) for x in "aabb"] + [(2, x) for x in "aab"] + [(3, "a"), (4, "a"), (4, "b"), (4, "x"), (5, None), (5, "a"), (5, "b")]
+    got = {r.step: (r.missing, r.unknown, r.reason) for r in c.coverage_by(spark.createDataFrame(rows, "step int, case_id string"), ["step"], "case_id", spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "case_id string")).collect()}
+    assert got == {1: (0, 0, None), 2: (0, 0, "1 to 2 rollouts a case"), 3: (1, 0, "incomplete: 1 missing, 0 unknown"), 4: (0, 1, "incomplete: 0 missing, 1 unknown"), 5: (0, 1, "incomplete: 0 missing, 1 unknown")}
 
 
 def test_best_takes_the_earliest_of_equals(spark):
@@ -228,14 +282,15 @@ def test_salted_join(spark):
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, big.join(small, "k", "left").select("id", "k", "v").collect()))
 
 
-def test_verdicts_come_from_the_bootstrap(spark, monkeypatch):
-    rows = [("process", f"c{i}", v) for i, v in enumerate([0.1, 0.1, 1.0])] + [("final", f"c{i}", v) for i, v in enumerate([-0.5, 0.5, 0.25])] + [("one", "c0", 1.0)]
-    pairs = spark.createDataFrame(rows, "metric string, case_id string, delta double")
-    monkeypatch.setattr(comparison, "_pairs", lambda *_: pairs)
-    got = {r.metric: (round(r.delta, 9), r.verdict) for r in comparison._verdicts(spark, "").collect()}
+def test_verdicts_come_from_the_bootstrap(spark):
+    side = lambda v: None if v is None else {"b": 0.0, "c": v}
+    rows = [(f"c{i}", side(p), side(f), side(o)) for i, (p, f, o) in enumerate(zip([0.1, 0.1, 1.0], [-0.5, 0.5, 0.25], [1.0, None, None]))]
+    pairs = spark.createDataFrame(rows, "case_id string, process struct<b: double, c: double>, final struct<b: double, c: double>, one struct<b: double, c: double>")
+    names = ["process", "final", "one"]
+    got = {r.metric: (round(r.delta, 9), r.verdict) for r in c.compared(pairs, [], "case_id", names).collect()}
     # mean +- 1.96 standard errors of process holds 0, the resamples are all above it
     assert got == {"process": (0.4, "improved"), "final": (0.083333333, "inconclusive"), "one": (1.0, "unquantified")}
-    assert comparison.promotion_decision(spark, "").first().decision == "promote"
+    assert {r.metric: r.verdict for r in c.compared(pairs, [], "case_id", names, normal=True).collect()}["process"] == "inconclusive"
 
 
 def test_repeated_event_counts_once_however_late(spark, tmp_path):
