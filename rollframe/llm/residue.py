@@ -292,7 +292,34 @@ def passages(text: str) -> list[str]:
     return out
 
 
-def windows(text: str, reader: Reader, able: list[set[str]], memory: dict) -> tuple[set[str], list[tuple[dict[str, int], int, int]]]:
+class Able:
+    """Which sets of notions can hold an exemplar at all; answers are remembered, as few different sets occur."""
+
+    def __init__(self, exemplars: list[tuple[str, str]]):
+        self.sets = [frozenset(text.split()) for _, text in exemplars]
+        self.alone: dict[frozenset, bool] = {}
+        self.joint: dict[tuple[frozenset, frozenset], bool] = {}
+
+    def half(self, names: frozenset) -> bool:
+        known = self.alone.get(names)
+        if known is None:
+            if len(self.alone) >= REMEMBER:
+                self.alone.clear()
+            known = self.alone[names] = any(2 * len(names & a) >= len(a) for a in self.sets)
+        return known
+
+    def together(self, x: frozenset, y: frozenset) -> bool:
+        """An exemplar that both have together and neither has by itself."""
+        known = self.joint.get((x, y))
+        if known is None:
+            if len(self.joint) >= REMEMBER:
+                self.joint.clear()
+            both = x | y
+            known = self.joint[x, y] = any(a <= both and not a <= x and not a <= y for a in self.sets)
+        return known
+
+
+def windows(text: str, reader: Reader, able: Able, memory: dict) -> tuple[set[str], list[tuple[dict[str, int], int, int]]]:
     """The notions of a text, and its windows of one or two passages that hold half of an exemplar's notions or more."""
     seen: set[str] = set()
     out = []
@@ -305,18 +332,17 @@ def windows(text: str, reader: Reader, able: list[set[str]], memory: dict) -> tu
         if now is None:
             if len(memory) >= REMEMBER:
                 memory.clear()
-            now = memory[key] = reader.read(key)
-        for one in now:
-            own = set(one[0])
-            seen |= own
-            if any(2 * len(own & a) >= len(a) for a in able):
-                out.append(one)
-        for x in before:
-            for y in now:
-                both = Counter(x[0])
-                both.update(y[0])
-                names = set(both)
-                if any(a <= names and not a <= set(x[0]) and not a <= set(y[0]) for a in able):
+            now = memory[key] = [(one, frozenset(one[0])) for one in reader.read(key)]
+        for one, own in now:
+            if own:
+                seen |= own
+                if able.half(own):
+                    out.append(one)
+        for x, xs in before:
+            for y, ys in now:
+                if (xs or ys) and able.together(xs, ys):
+                    both = Counter(x[0])
+                    both.update(y[0])
                     out.append((both, x[1] + y[1], x[2] + y[2]))
         before = now
     return seen, out
@@ -330,10 +356,8 @@ def residue(documents: DataFrame, exemplars: list[tuple[str, str]] | None = None
     each notion. Frequencies are of all documents and gathered for the lexicon's notions only, a few dozen numbers."""
     labelled, words = EXEMPLARS if exemplars is None else exemplars, LEXICON if lexicon is None else lexicon
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    able = [set(text.split()) for _, text in labelled]
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, memory, df, docs = Reader(words), {}, Counter(), 0
+        reader, able, memory, df, docs = Reader(words), Able(labelled), {}, Counter(), 0
         for batch in batches:
             docs += len(batch)
             out = []
