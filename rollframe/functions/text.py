@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +99,38 @@ def brace_slice(c) -> Column:
     first, size = F.instr(c, "{"), F.length(c)
     last = size - F.instr(F.reverse(c), "}") + 1
     return F.when((first > 0) & (F.instr(c, "}") > 0) & (last > first), F.substring(c, first, last - first + 1))
+
+
+def unfenced(c) -> Column:
+    """A text without the code fence around it."""
+    return F.regexp_replace(F.trim(c), r"(?s)^```[a-zA-Z]*\s*|\s*```$", "")
+
+
+def nested_case(value: object, needed: tuple[str, ...] = ("case_id", "hidden_truth", "rules")) -> dict | None:
+    """The first object with all needed keys in a nested value, outer ones and earlier keys first; texts that hold JSON are
+    opened on the way. Broken JSON is passed over."""
+    waiting = [value]
+    while waiting:
+        at = waiting.pop()
+        if isinstance(at, str) and at.lstrip()[:1] in ("{", '"'):
+            try:
+                waiting.append(json.loads(at))
+            except ValueError:
+                pass
+        elif isinstance(at, dict):
+            if all(k in at for k in needed):
+                return at
+            waiting += reversed(at.values())
+    return None
+
+
+def find_case(c, needed: tuple[str, ...] = ("case_id", "hidden_truth", "rules")) -> Column:
+    """nested_case of a JSON text as a JSON text; null where there is none. For payloads of unknown depth; a known path is
+    better read with variant_get."""
+
+    @F.pandas_udf("string")
+    def look(texts: pd.Series) -> pd.Series:
+        found = [None if t is None else nested_case(t, needed) for t in texts]
+        return pd.Series([None if f is None else json.dumps(f, ensure_ascii=False, sort_keys=True) for f in found])
+
+    return look(c)

@@ -6,6 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The metrics that a scenario's score is taken from, first come first.
+PRIORITY = ("process_pass_at_1", "process_pass_at_k", "process_success_at_k", "safe_pass_at_1", "safe_pass_at_k", "safe_success_at_k", "pass_at_k", "pass_at_1")
+
+
+def first_metric(rows: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
+    """Adds score, the first metric of priority that has a value, clamped to [0, 1], and source, its name; both null where
+    none has. Metrics that rows lacks as columns count as missing."""
+    have = [m for m in priority if m in rows.columns]
+    score = F.coalesce(*[F.col(m) for m in have], F.lit(None).cast("double"))
+    source = F.coalesce(*[F.when(F.col(m).isNotNull(), m) for m in have], F.lit(None).cast("string"))
+    return rows.withColumns({"score": F.when(score.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))), "source": source})
+
+
+def with_scores(strata: DataFrame, scores: DataFrame, stratum: str) -> DataFrame:
+    """Strata with their score. One that has none ends the query with its name: it would silently count as the worst."""
+    rows = strata.join(scores.select(stratum, "score", "source"), stratum, "left")
+    told = F.when(F.col("score").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no score for "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))).cast("boolean"))
+    return rows.where(told)
+
+
+def only_split(rows: DataFrame, split: str, wanted: str = "train") -> DataFrame:
+    """rows, of which any of another split ends the query."""
+    ok = F.coalesce(F.col(split) == wanted, F.lit(False))
+    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"only {wanted} rows are allowed, found "), F.coalesce(F.col(split), F.lit("null")))).cast("boolean")))
+
+
 def multipliers(strata: DataFrame, score: Column, target: float = 0.8, alpha: float = 2.0, most: float = 3.0) -> DataFrame:
     """Adds score (clamped to [0, 1]; null counts as 0) and multiplier = min(most, 1 + alpha * max(0, target - score))."""
     s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(score, F.lit(0.0))))

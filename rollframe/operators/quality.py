@@ -56,6 +56,23 @@ def diversity(rows: DataFrame, keys: list[str], parts: dict[str, Column]) -> Dat
     return g.withColumns({f"{n}_rate": F.col(n) / F.col("n") for n in parts})
 
 
+def label_conflicts(rows: DataFrame, derived: Column, expected: Column, groups: list[str]) -> DataFrame:
+    """Rows and conflicts (what was derived is not what is expected, nulls compared as values) per value of each of groups
+    and over all: (grouped_by, value, n, conflicts); grouped_by is null over all."""
+    marked = rows.select(*groups, (~derived.eqNullSafe(expected)).alias("_bad"))
+    g = marked.groupingSets([*[[x] for x in groups], []], *groups).agg(F.count(F.lit(1)).alias("n"), F.count_if("_bad").alias("conflicts"), *[F.grouping(x).alias(f"_{i}") for i, x in enumerate(groups)])
+    by = F.coalesce(*[F.when(F.col(f"_{i}") == 0, F.lit(x)) for i, x in enumerate(groups)])
+    value = F.coalesce(*[F.when(F.col(f"_{i}") == 0, F.col(x)) for i, x in enumerate(groups)])
+    return g.select(by.alias("grouped_by"), value.alias("value"), "n", "conflicts")
+
+
+def contradictions(rows: DataFrame, seen: list[str], label: Column) -> DataFrame:
+    """What is the same in all of seen but has several labels: (seen as a 16-byte key in hex, n, labels)."""
+    key = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in seen]))
+    g = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(label, F.lit(""))).alias("labels"))
+    return g.where("labels > 1")
+
+
 def broken_paths(rows: DataFrame, path: str, last: Column) -> DataFrame:
     """Rows whose path is missing, empty, or does not end with `last`."""
     return rows.where(F.coalesce(F.size(path), F.lit(0)) < 1).unionByName(rows.where((F.size(path) > 0) & ~F.element_at(path, -1).eqNullSafe(last)))

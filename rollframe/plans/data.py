@@ -8,6 +8,7 @@ from rollframe import runtime
 from rollframe.functions import text
 from rollframe.operators import curriculum as cu
 from rollframe.operators import dialogue as dl
+from rollframe.operators import metrics
 from rollframe.operators import quality as q
 from rollframe.operators import sequences as sq
 from rollframe.plans.base import registering
@@ -193,11 +194,49 @@ def turn_balanced_weights(spark, d):
     return dl.turn_weights(_turns(spark, d)).select("doc_id", "turn", F.col("tokens").cast("long").alias("tokens"), "weight")
 
 
-@query(f"WITH {_TURNS}, w AS (SELECT *, CASE WHEN is_target AND tokens > 0 THEN 1.0::DOUBLE / tokens ELSE 0 END AS weight FROM u) SELECT doc_id, sum(weight * tokens) / greatest(sum(weight), 1e-8) AS loss FROM w GROUP BY doc_id", "loss")
+_TOKENS = rf"""{_TURNS}, k AS (SELECT doc_id, turn, is_target, unnest(regexp_extract_all(words, '([\p{{Han}}]|[^\s\p{{Han}}]+)')) AS token, unnest(range(0, len(regexp_extract_all(words, '([\p{{Han}}]|[^\s\p{{Han}}]+)')))) AS i FROM u),
+    p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, i) AS pos, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id, turn) AS weight FROM k)"""
+
+
+def _samples(spark, d):
+    """Dialogues that have a target token, as arrays."""
+    return dl.serialized(_turns(spark, d), "doc_id").where(F.exists("mask", lambda m: m == 1))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS tokens, count(CASE WHEN is_target THEN 1 END) AS targets, count(DISTINCT CASE WHEN is_target THEN turn END) AS turns, string_agg(CASE WHEN is_target THEN '1' ELSE '0' END, '' ORDER BY pos) AS mask FROM p GROUP BY doc_id HAVING count(CASE WHEN is_target THEN 1 END) > 0")
+def assistant_mask(spark, d):
+    """Each dialogue's tokens with the mask of the target turns."""
+    n = lambda c: F.size(c).cast("long")
+    targets = F.filter("turn", lambda t: t >= 0)
+    return _samples(spark, d).select("doc_id", n("token").alias("tokens"), n(targets).alias("targets"), n(F.array_distinct(targets)).alias("turns"), F.array_join("mask", "").alias("mask"))
+
+
+@query(f"""WITH {_TOKENS}, h AS (SELECT *, lag(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS loss, max(is_target::INT) OVER (PARTITION BY doc_id) AS has FROM p)
+    SELECT doc_id, coalesce(sum(CASE WHEN is_target THEN weight * loss END), 0) / greatest(coalesce(sum(CASE WHEN is_target AND loss IS NOT NULL THEN weight END), 0), 1.1920929e-07) AS loss FROM h WHERE has = 1 GROUP BY doc_id""", "loss")
 def weighted_loss(spark, d):
-    """The weighted mean with the token count in the place of a loss."""
-    w = dl.turn_weights(_turns(spark, d))
-    return w.groupBy("doc_id").agg(dl.shifted_loss(w, "doc_id", "turn", "tokens", "weight").alias("loss"))
+    """The weighted loss after the shift: the loss at a token is that of predicting the next one; token lengths stand for losses."""
+    s = _samples(spark, d).withColumns({"weights": dl.turn_balanced("mask", "turn"), "labels": F.transform("mask", lambda m: F.when(m == 1, F.lit(1).cast("long")).otherwise(F.lit(dl.NO_LABEL).cast("long")))})
+    return s.select("doc_id", dl.shifted_loss(F.col("labels"), F.col("weights"), F.transform("token", lambda t: F.length(t).cast("double"))).alias("loss"))
+
+
+@query(f"""WITH {_TOKENS}, g AS (SELECT doc_id, count(*) AS n, count(CASE WHEN is_target THEN 1 END) AS targets FROM p GROUP BY doc_id HAVING count(CASE WHEN is_target THEN 1 END) > 0)
+    SELECT doc_id, CAST(max(n) OVER (PARTITION BY doc_id % 10) AS INTEGER) AS padded, CAST(n AS BIGINT) AS attended, targets FROM g""")
+def collated_batches(spark, d):
+    """Batches of dialogues with labels, attention and weights, filled up to the longest of the batch."""
+    s = _samples(spark, d).withColumns({"batch": F.col("doc_id") % 10, "ids": F.transform("token", lambda t: F.xxhash64(t)), "weights": dl.turn_balanced("mask", "turn")})
+    c = dl.collated(s, "batch", "ids", "mask", "weights", 0)
+    total = lambda c_, keep: F.size(F.filter(c_, keep)).cast("long")
+    return c.select("doc_id", F.size("ids").alias("padded"), total("attention", lambda x: x == 1).alias("attended"), total("labels", lambda x: x != dl.NO_LABEL).alias("targets"))
+
+
+@query(f"""WITH {_TOKENS}, tt AS (SELECT doc_id, turn, is_target, count(*) AS c FROM p GROUP BY ALL), g AS (SELECT doc_id, sum(c) AS n, sum(CASE WHEN is_target THEN c ELSE 0 END) AS targets, count(CASE WHEN is_target THEN 1 END) AS turns, max(CASE WHEN is_target THEN c END) / min(CASE WHEN is_target THEN c END)::DOUBLE AS imbalance FROM tt GROUP BY doc_id HAVING count(CASE WHEN is_target THEN 1 END) > 0),
+    x AS (SELECT g.*, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY n) AS rl, count(*) OVER (PARTITION BY d.lang) AS nl, row_number() OVER (ORDER BY n) AS ra, count(*) OVER () AS na FROM g JOIN documents d USING (doc_id))
+    SELECT lang, false AS is_total, count(*) AS count, avg(n) AS tokens_mean, max(CASE WHEN rl = floor((nl - 1) * 0.5) + 1 THEN n END)::INTEGER AS tokens_p50, max(CASE WHEN rl = floor((nl - 1) * 0.95) + 1 THEN n END)::INTEGER AS tokens_p95, max(n)::INTEGER AS tokens_most, avg(targets) AS targets_mean, min(targets)::INTEGER AS targets_least, avg(turns) AS turns_mean, avg(imbalance) AS imbalance_mean FROM x GROUP BY lang
+    UNION ALL SELECT NULL, true, count(*), avg(n), max(CASE WHEN ra = floor((na - 1) * 0.5) + 1 THEN n END)::INTEGER, max(CASE WHEN ra = floor((na - 1) * 0.95) + 1 THEN n END)::INTEGER, max(n)::INTEGER, avg(targets), min(targets)::INTEGER, avg(turns), avg(imbalance) FROM x""", "tokens_mean targets_mean turns_mean imbalance_mean")
+def token_audit(spark, d):
+    """Tokens, targets, turns and their imbalance, by language and over all."""
+    lang = runtime.table(spark, d, "documents").where("doc_kind = 'dialogue'").select("doc_id", "lang")
+    return dl.audit(_samples(spark, d).join(lang, "doc_id"), ["lang"])
 
 
 @query("""WITH x AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE n_chars IS NOT NULL)
@@ -363,3 +402,98 @@ def rescored_overlay(spark, d):
     rows = rollouts(spark, d).withColumns({"source_environment_reward": F.col("reward_value"), "source_judge_score": F.col("judge_score")})
     rows = rows.withColumns({"reward": F.when(done, F.coalesce("reward_value", F.lit(0.0))).otherwise(0.0), "judge_score": F.when(done, F.col("judge_score")).otherwise(-1.0)})
     return rows.select("rollout_id", "source_environment_reward", "source_judge_score", "reward", "judge_score")
+
+
+# --- checks of labels, scores, matching
+
+@query(f"""WITH {_CASES}, x AS (SELECT matter_id, scenario_type, reference_actions[-1] IS DISTINCT FROM 'SUBMIT' AS bad FROM c), g AS (SELECT matter_id, scenario_type, grouping(matter_id) AS a, grouping(scenario_type) AS b, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS conflicts FROM x GROUP BY GROUPING SETS ((matter_id), (scenario_type), ()))
+    SELECT CASE WHEN a = 0 THEN 'matter_id' WHEN b = 0 THEN 'scenario_type' END AS grouped_by, CASE WHEN a = 0 THEN matter_id WHEN b = 0 THEN scenario_type END AS value, n, conflicts FROM g""")
+def consistency_audit(spark, d):
+    """Cases whose derived label (here: the last action of the path) is not the expected one (here: SUBMIT), by matter, by
+    scenario and over all. How the label is derived is an argument; the rules of eligibility are none of the engine's."""
+    return q.label_conflicts(cases(spark, d), F.try_element_at("reference_actions", F.lit(-1)), F.lit("SUBMIT"), ["matter_id", "scenario_type"])
+
+
+@query(f"WITH {_CASES} SELECT md5(coalesce(matter_id, chr(1)) || chr(0) || coalesce(split, chr(1))) AS key, count(*) AS n, count(DISTINCT coalesce(expected_result.final_action, '')) AS labels FROM c GROUP BY 1 HAVING count(DISTINCT coalesce(expected_result.final_action, '')) > 1")
+def label_contradictions(spark, d):
+    """What looks alike but has several labels; matter and split stand for what is seen."""
+    return q.contradictions(cases(spark, d), ["matter_id", "split"], F.col("expected_result.final_action"))
+
+
+@query(f"WITH {_CASES} SELECT case_id FROM c WHERE len(coalesce(reference_actions, [])) < 1 OR list_last(reference_actions) IS DISTINCT FROM 'SUBMIT'")
+def paths_without_submit(spark, d):
+    return q.broken_paths(cases(spark, d), "reference_actions", F.lit("SUBMIT")).select("case_id")
+
+
+@query("SELECT matter_id, count(DISTINCT doc_kind) AS splits, min(doc_kind) AS first_split, max(doc_kind) AS last_split FROM documents WHERE matter_id IS NOT NULL GROUP BY matter_id HAVING count(DISTINCT doc_kind) > 1")
+def matters_crossing_kinds(spark, d):
+    return q.crossing(runtime.table(spark, d, "documents"), "matter_id", "doc_kind")
+
+
+@query(f"WITH {_COVER} SELECT case_id, n FROM f WHERE status = 'unknown'")
+def unknown_cases(spark, d):
+    return q.coverage(runtime.table(spark, d, "cases"), rollouts(spark, d), "case_id", 4).where("status = 'unknown'").drop("status")
+
+
+@query(f"WITH {_COVER} SELECT case_id, n FROM f WHERE status = 'wrong_count'")
+def wrong_counts(spark, d):
+    return q.coverage(runtime.table(spark, d, "cases"), rollouts(spark, d), "case_id", 4).where("status = 'wrong_count'").drop("status")
+
+
+@query(f"WITH {ONCE}, {_CASES} SELECT c.case_id IS NOT NULL AS known, count(*) AS rollouts, count(CASE WHEN c.split = r.split THEN 1 END) AS same_split FROM r LEFT JOIN c ON r.case_id = c.case_id GROUP BY 1")
+def rollouts_with_cases(spark, d):
+    """Rollouts with their cases and how many have none; the cases are broadcast only if they are few."""
+    c = cases(spark, d).select("case_id", F.col("split").alias("case_split"), F.lit(True).alias("known"))
+    both = runtime.join_sized(rollouts(spark, d), c, ["case_id"], "left", c.count())
+    return both.groupBy(F.coalesce("known", F.lit(False)).alias("known")).agg(F.count(F.lit(1)).alias("rollouts"), F.count_if(F.col("split") == F.col("case_split")).alias("same_split"))
+
+
+@query(f"""WITH {ONCE}, sco AS (SELECT scenario, count(CASE WHEN process THEN 1 END) / count(*)::DOUBLE AS score FROM r WHERE case_id IS NOT NULL AND scenario IS NOT NULL GROUP BY scenario) SELECT scenario, score, 'process_pass_at_1' AS source FROM sco""", "score")
+def scenario_scores(spark, d):
+    """The score of each scenario and the metric it is from, by priority; a scenario of the cases without one ends the query."""
+    found = cu.first_metric(metrics.evaluation(rollouts(spark, d).where("scenario IS NOT NULL"), ["scenario"]))
+    need = cases(spark, d).where("split = 'train'").select(F.col("scenario_type").alias("scenario")).distinct()
+    return cu.with_scores(need, found, "scenario")
+
+
+@query("""WITH n(metric, tag, priority) AS (VALUES ('reward', 'critic/score/mean', 1), ('entropy', 'actor/entropy', 1), ('never', 'no/such/tag', 1)), p AS (SELECT DISTINCT tag FROM scalars WHERE value IS NOT NULL) SELECT metric FROM n WHERE metric NOT IN (SELECT metric FROM n JOIN p USING (tag))""")
+def missing_series(spark, d):
+    """Metrics none of whose names has a point."""
+    names = spark.createDataFrame([("reward", "critic/score/mean", 1), ("entropy", "actor/entropy", 1), ("never", "no/such/tag", 1)], "metric string, tag string, priority int")
+    return names.select("metric").distinct().join(sq.alias_series(runtime.table(spark, d, "scalars"), names), "metric", "left_anti")
+
+
+@query(f"WITH {_SCALARS} SELECT run_id, step, value FROM s WHERE tag = 'actor/lr'")
+def series_points(spark, d):
+    """One series as points in order of its steps."""
+    s = sq.latest(runtime.table(spark, d, "scalars").where("value IS NOT NULL AND tag = 'actor/lr'"), ["run_id", "tag", "step"], "value", "wall_time")
+    return s.select("run_id", "step", "value").orderBy("run_id", "step")
+
+
+@query(f"""WITH {_CASES} SELECT case_id, 'cases' AS data_source, user_request AS prompt, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS held_out, len(rules.required_slots) AS slots FROM c""")
+def trainer_rows(spark, d):
+    """Cases in the nested shape that a trainer reads, and what comes back out of it."""
+    r = cases(spark, d).select(
+        "case_id", F.lit("cases").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.col("user_request").alias("content"))).alias("prompt"),
+        F.struct("split", "scenario_type", F.to_json("rules").alias("rules"), F.sha2(F.to_json("rules"), 256).alias("fingerprint")).alias("extra"),
+    )
+    slots = F.size(F.from_json("extra.rules", "required_slots array<string>")["required_slots"])
+    return r.select("case_id", "data_source", F.col("prompt")[0]["content"].alias("prompt"), F.when(F.col("extra.split") == "train", 0).otherwise(1).alias("held_out"), slots.cast("long").alias("slots"))
+
+
+@query(f"""WITH {ONCE}, x AS (SELECT rollout_id, coalesce(output, '') AS o, judge_clarity AS j FROM r) SELECT rollout_id, CASE WHEN contains(o, '{{') AND contains(o, '}}') AND strpos(reverse(o), '}}') < length(o) - strpos(o, '{{') + 1 THEN length(o) - strpos(o, '{{') + 1 - strpos(reverse(o), '}}') + 1 END AS sliced,
+    coalesce(CASE WHEN j >= 0 THEN j / 4 END, -1) AS clarity, CAST(round_even(rollout_id / 8.0, 0) AS BIGINT) AS even FROM x""", "clarity")
+def scalar_functions(spark, d):
+    rows = runtime.table(spark, d, "rollouts").select("rollout_id", F.length(text.brace_slice(F.coalesce("output", F.lit("")))).cast("long").alias("sliced"), "judge_clarity").dropDuplicates(["rollout_id"])
+    j = F.col("judge_clarity")
+    return rows.select("rollout_id", "sliced", F.coalesce(F.when(j >= 0, j / 4), F.lit(-1.0)).alias("clarity"), F.bround(F.col("rollout_id") / 8.0, 0).cast("long").alias("even"))
+
+
+@query(f"""WITH {_CASES} SELECT case_id, len(rules.required_slots) + len(rules.required_tools) AS together, len(json_keys(json_merge_patch(coalesce(hidden_truth, '{{}}'), coalesce(visible_slots, '{{}}')))) AS merged, (len(rules.required_slots) * (len(rules.required_slots) - 1) / 2)::BIGINT AS slot_pairs FROM c""")
+def collection_functions(spark, d):
+    """Arrays put together, maps laid over one another, all pairs of an array's few elements."""
+    m_ = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    slots = F.col("rules.required_slots")
+    pairs = F.flatten(F.transform(slots, lambda a, i: F.transform(F.slice(slots, i + 2, F.size(slots)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    keys = F.array_union(F.map_keys(m_("hidden_truth")), F.map_keys(m_("visible_slots")))
+    return cases(spark, d).select("case_id", F.size(F.concat(slots, "rules.required_tools")).cast("long").alias("together"), F.size(keys).cast("long").alias("merged"), F.size(pairs).cast("long").alias("slot_pairs"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -60,8 +58,7 @@ def stream_episodes(spark, d):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", "total")
 def stream_windows(spark, d):
     """Daily counts with a watermark; the files arrive in order, so that nothing is late."""
-    name = f"w{uuid.uuid4().hex}"
-    t = ep.run_to_end(ep.windowed(_events(spark, d)), name, _place(spark), "complete")
+    t = ep.run_to_end(ep.windowed(_events(spark, d)), runtime.Scratch(spark, "windows").path, _place(spark), "complete")
     return t.select("start", "event_type", "n", "total")
 
 
@@ -71,4 +68,4 @@ def stream_success(spark, d):
     df = runtime.table(spark, d, "rollouts").select("rollout_id", "step", "final_action_correct", "logged_at")
     path = _in_order(df.withColumn("logged_at", F.coalesce("logged_at", F.lit("1970-01-01").cast("timestamp_ntz"))), "logged_at")
     s = ep.file_stream(spark, path, df.schema).dropDuplicates(["rollout_id"])
-    return ep.run_to_end(ep.running_success(s), f"s{uuid.uuid4().hex}", _place(spark), "complete")
+    return ep.run_to_end(ep.running_success(s), runtime.Scratch(spark, "success").path, _place(spark), "complete")

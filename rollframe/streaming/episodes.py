@@ -83,12 +83,21 @@ def running_success(stream: DataFrame) -> DataFrame:
     return stream.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_if(final).alias("successes"))
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Runs a stream over all that is there and returns the memory sink's table; for tests and small sources."""
+def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over all that is there; each batch is written below path by the executors.
+
+    complete: the last batch holds everything, and it is returned; update: all batches are, with their number in `batch`."""
     spark = df.sparkSession
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    done: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")  # a batch that is run again replaces itself
+        done.append(n)
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.parquet(f"{path}/batch={max(done)}") if mode == "complete" else spark.read.parquet(path)
 
 
 def latest_update(updates: DataFrame) -> DataFrame:

@@ -234,13 +234,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "7.jsonl").write_text('{"a": 1}\n\n{"a": 2, "step": 3}\n[1]\n{"a"\n')
     good, bad = files.read_jsonl_checked(spark, str(tmp_path / "j"), "a int, step long")
-    assert [r.a for r in good.collect()] == [1, 2] and sorted(r.error for r in bad.collect()) == ["no object", "no valid JSON"]
+    assert [r.a for r in good.collect()] == [1, 2] and sorted((r.line_no, r.error) for r in bad.collect()) == [(4, "no object"), (5, "no valid JSON")]
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "12.jsonl").write_text('{"a": 1}\n{"a": 2, "step": 3}\n')
     assert [(r.a, r.step) for r in files.read_steps(spark, str(tmp_path / "s"), "a int, step long").collect()] == [(1, 12), (2, 3)]
-    assert files.latest_step_file(str(tmp_path / "s")).name == "12.jsonl"
+    assert files.latest_step_file(spark, str(tmp_path / "s")).endswith("/s/12.jsonl")
     with pytest.raises(FileNotFoundError):
-        files.latest_step_file(str(tmp_path))
+        files.latest_step_file(spark, str(tmp_path))
     with pytest.raises(Exception, match="Malformed|MALFORMED"):
         files.read_jsonl(spark, str(tmp_path / "j"), "a int").collect()
 
@@ -253,16 +253,18 @@ def test_seeds_hashes_and_manifest(spark, tmp_path):
     for wrong in (named[:2], [*named, named[0]]):
         with pytest.raises(ValueError, match="seed"):
             files.read_seeds(spark, wrong, "v int")
-    before = files.folder_digest(str(tmp_path))
+    before = files.folder_digest(spark, str(tmp_path))
+    inner = lambda k: f"{k}.json\0" + hashlib.sha256(json.dumps({"v": k}).encode()).hexdigest() + "\0"
+    assert before == hashlib.sha256("".join(map(inner, range(3))).encode()).hexdigest()
     (tmp_path / "2.json").write_text("{}")
-    assert files.folder_digest(str(tmp_path)) != before and files.file_hashes(spark, str(tmp_path)).count() == 3
+    assert files.folder_digest(spark, str(tmp_path)) != before and files.file_hashes(spark, str(tmp_path)).count() == 3
     with pytest.raises(ValueError, match="empty"):
         (tmp_path / "none").mkdir()
-        files.folder_digest(str(tmp_path / "none"))
+        files.folder_digest(spark, str(tmp_path / "none"))
     path = str(tmp_path / "m" / "manifest.json")
-    assert files.write_or_verify_manifest(path, {"b": 1, "a": 2}) == "created" and files.write_or_verify_manifest(path, {"a": 2, "b": 1}) == "verified"
+    assert files.write_or_verify_manifest(spark, path, {"b": 1, "a": 2}) == "created" and files.write_or_verify_manifest(spark, path, {"a": 2, "b": 1}) == "verified"
     with pytest.raises(ValueError, match="agree"):
-        files.write_or_verify_manifest(path, {"a": 3})
+        files.write_or_verify_manifest(spark, path, {"a": 3})
     assert (tmp_path / "m" / "manifest.candidate.json").exists()
 
 
@@ -315,3 +317,24 @@ def test_repeated_event_counts_once_however_late(spark, tmp_path):
         spark.conf.set(key, before)
     got = ep.latest_update(spark.read.parquet(f"{tmp_path}/out")).first()
     assert (got.attempts, got.trailing, got.repeated) == (101, 0, 1)
+
+
+def test_release_ends_a_finished_episode_only(spark, tmp_path):
+    event = "event_id long, ts timestamp, user_id long, event_type string"
+    at = datetime(2026, 1, 1)
+    batches = [[(1, at, 1, "end"), (2, at, 2, "a"), (10, at + timedelta(minutes=1), 1, "release"), (11, at + timedelta(minutes=1), 2, "release")], [(20, at + timedelta(hours=1), 1, "a"), (21, at + timedelta(hours=1), 2, "a")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, event).coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rocks)
+    try:
+        for n in (0, 1):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            for f in (tmp_path / str(n)).glob("*.parquet"):
+                f.rename(tmp_path / "in" / f"{n}-{f.name}")
+            out = ep.run_to_end(ep.episodes(ep.file_stream(spark, str(tmp_path / "in"), event), ["end"], 10), f"{tmp_path}/out{n}", f"{tmp_path}/state")
+    finally:
+        spark.conf.set(key, before)
+    # the state of 1 is gone and begins anew, that of 2 goes on: the action is a repeat
+    assert {r.user_id: (r.attempts, r.trailing, r.repeated, r.final) for r in out.collect()} == {1: (1, 0, 0, None), 2: (2, 0, 1, None)}
