@@ -129,7 +129,24 @@ QUERIES = {
 
 _CASE = "nullif(trim(regexp_replace(lower(case_id), '[^\\p{L}\\p{N}]+', '_', 'g'), '_'), '')"
 
+#: The copies as SQL: blocks whose two levels of fields are put in order; g has each rollout with the first of its group.
+_COPIES = r"""
+    r AS (SELECT DISTINCT rollout_id AS id, nullif(trim(regexp_replace(lower(case_id), '[^\p{L}\p{N}]+', '_', 'g'), '_'), '') AS c, replace(lower(upper(output)), 'ß', 'ss') AS o FROM rollouts),
+    b AS (SELECT id, unnest(regexp_extract_all(o, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS block, unnest(range(0, len(regexp_extract_all(o, '(?s)<tool_call>(.*?)</tool_call>', 1)))) AS i FROM r),
+    v AS (SELECT id, i, block, json_valid(block) AS ok FROM b),
+    l1 AS (SELECT id, i, k, json_extract(block, '/' || k) AS x FROM (SELECT id, i, block, unnest(json_keys(block)) AS k FROM v WHERE ok) WHERE true),
+    l2 AS (SELECT id, i, k, string_agg(k2 || coalesce(json_extract_string(x, '/' || k2), 'null'), ' ' ORDER BY k2) AS t FROM (SELECT id, i, k, x, unnest(json_keys(x)) AS k2 FROM l1 WHERE json_type(x) = 'OBJECT') GROUP BY ALL),
+    l AS (SELECT l1.id, l1.i, string_agg(l1.k || coalesce(l2.t, CASE WHEN json_type(x) = 'OBJECT' THEN '' ELSE coalesce(json_extract_string(x, '$'), 'null') END), ' ' ORDER BY l1.k) AS t FROM l1 LEFT JOIN l2 USING (id, i, k) GROUP BY l1.id, l1.i),
+    w AS (SELECT v.id, v.i, coalesce(l.t, CASE WHEN v.ok THEN '' ELSE v.block END) AS t FROM v LEFT JOIN l USING (id, i)),
+    n AS (SELECT id, string_agg('toolcall ' || t, ' ' ORDER BY i) AS blocks FROM w GROUP BY id),
+    k AS (SELECT r.id, r.c, string_split_regex(r.o, '(?s)<tool_call>.*?</tool_call>') AS parts, n.blocks, r.o FROM r LEFT JOIN n USING (id)),
+    z AS (SELECT id, c, parts, (SELECT list(t ORDER BY i) FROM w WHERE w.id = k.id) AS ts FROM k WHERE c IS NOT NULL),
+    y AS (SELECT id, c, regexp_replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda j: parts[j] || CASE WHEN j <= len(coalesce(ts, [])) THEN 'toolcall ' || ts[j] ELSE '' END), ' '), '[^\p{L}\p{N}]+', '', 'g') AS key FROM z),
+    g AS (SELECT id, min(id) OVER (PARTITION BY c, key) AS a FROM y WHERE key <> '')"""
+
 SQL = {
+    "p3_found": f"WITH {_COPIES} SELECT a AS rollout_id_a, id AS rollout_id_b FROM g WHERE id <> a",
+    "p3_records": f"WITH {_COPIES} SELECT a AS first_id, count(*) AS copies FROM g GROUP BY a HAVING count(*) > 1",
     "p1_found": f"""
         WITH r AS (SELECT DISTINCT {_CASE} AS case_id, environment_reward AS v, step, rollout_id FROM rollouts
                    WHERE environment_reward IS NOT NULL AND NOT isnan(environment_reward))
