@@ -97,7 +97,10 @@ def dataset_digest(spark, d):
     return q.digest(runtime.table(spark, d, "documents").where("text IS NOT NULL"), ["doc_id"], F.col("text"))
 
 
-@query()
+@query(f"""WITH {_CASES}, k AS (SELECT case_id, k, json_extract(hidden_truth, '/' || k) AS x FROM (SELECT case_id, hidden_truth, unnest(json_keys(hidden_truth)) AS k FROM c WHERE json_valid(hidden_truth))),
+    i AS (SELECT case_id, k, '{{' || string_agg('"' || y || '":' || json_extract(x, '/' || y)::VARCHAR, ',' ORDER BY y) || '}}' AS t FROM (SELECT *, unnest(json_keys(x)) AS y FROM k WHERE json_type(x) = 'OBJECT') GROUP BY ALL),
+    j AS (SELECT case_id, '{{' || string_agg('"' || k || '":' || coalesce(i.t, k.x::VARCHAR), ',' ORDER BY k) || '}}' AS t FROM k LEFT JOIN i USING (case_id, k) GROUP BY case_id)
+    SELECT sha256(t) AS fingerprint, count(*) AS n, min(c.case_id) AS first_case FROM c LEFT JOIN j USING (case_id) GROUP BY 1""")
 def canonical_fingerprints(spark, d):
     c = cases(spark, d).select("case_id", q.fingerprint("hidden_truth").alias("fingerprint"))
     return c.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("first_case"))
