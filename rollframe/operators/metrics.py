@@ -158,23 +158,21 @@ def call_list(output: Column, tool: str) -> Column:
     Malformed: no JSON object, neither name nor function in it, or arguments (an object, or a text holding one) without
     action. wrong_name: it names another tool; a wrong name and bad arguments both count."""
 
-    def one(block: Column) -> Column:
-        v = F.try_parse_json(block)
-        v = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-        at = lambda path, kind="variant": F.try_variant_get(v, path, kind)
-        direct = at("$.name").isNotNull()
-        named = direct | F.coalesce(F.schema_of_variant(at("$.function")).startswith("OBJECT"), F.lit(False))
-        name = F.when(direct, at("$.name", "string")).otherwise(at("$.function.name", "string"))
-        raw, told = (F.when(direct, at(f"$.arguments{x}", k)).otherwise(at(f"$.function.arguments{x}", k)) for x, k in (("", "variant"), ("", "string")))
-        args = F.coalesce(F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(told)), raw)
-        args = F.when(F.schema_of_variant(args).startswith("OBJECT"), args)
-        ok = F.coalesce(named, F.lit(False)) & F.try_variant_get(args, "$.action", "variant").isNotNull()
-        return F.struct(
-            name.alias("name"), F.when(ok, F.upper(F.trim(F.try_variant_get(args, "$.action", "string")))).alias("action"), (~ok).alias("malformed"),
-            (F.coalesce(named, F.lit(False)) & ~name.eqNullSafe(F.lit(tool))).alias("wrong_name"),
-        )
-
-    return F.transform(text.tool_blocks(output), one)
+    # step by step: what one step works out is a value for the next, where a single expression would parse it again each time
+    at = F.try_variant_get
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    parsed = F.transform(text.tool_blocks(output), lambda b: F.struct(F.try_parse_json(b).alias("v")))
+    parts = F.transform(parsed, lambda x: F.struct(x["v"].alias("v"), at(x["v"], "$.name", "variant").isNotNull().alias("direct"), at(x["v"], "$.function", "variant").alias("inner")))
+    told = F.transform(parts, lambda x: F.when(x["direct"], x["v"]).when(x["inner"].isNotNull() & is_object(x["inner"]), x["inner"]))
+    named = F.transform(told, lambda f: F.struct(f.isNotNull().alias("named"), at(f, "$.name", "string").alias("name"), at(f, "$.arguments", "variant").alias("args"), at(f, "$.arguments.action", "variant").alias("inside")))
+    # arguments given as a text that holds an object
+    ready = F.transform(named, lambda x: F.struct(x["named"].alias("named"), x["name"].alias("name"), F.when(x["inside"].isNotNull(), x["inside"]).otherwise(at(F.try_parse_json(at(x["args"], "$", "string")), "$.action", "variant")).alias("action")))
+    return F.transform(
+        ready,
+        lambda x: F.struct(
+            x["name"].alias("name"), F.when(x["named"], F.upper(F.trim(at(x["action"], "$", "string")))).alias("action"), (~x["named"] | x["action"].isNull()).alias("malformed"), (x["named"] & ~x["name"].eqNullSafe(F.lit(tool))).alias("wrong_name")
+        ),
+    )
 
 
 def calls(rollouts: DataFrame, keep: list[str], tool: str) -> DataFrame:
