@@ -19,10 +19,12 @@ from rollframe.functions import text
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 4
-#: Members up to which all pairs of a bucket are compared; larger buckets are parted by further bands first.
+#: Members up to which all pairs of a bucket are compared one by one; in larger buckets common subsets tell which are alike.
 BUCKET = 256
 #: Tokens (words, or single Chinese characters) of an opening.
 OPENING = 16
+#: Shingles up to which subsets are spelled out: at most 79 for each opening; no opening of this length has more shingles.
+WIDE = OPENING - SHINGLE + 1
 #: A template recurs if prompts of at least so many matters have it.
 MATTERS = 2
 #: Share of a cluster's replies that may be about their case where it is still a refusal.
@@ -187,36 +189,52 @@ def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(links, columns=["oid", "head"], dtype="int64")
 
 
+def _by_subsets(sets: DataFrame) -> DataFrame:
+    """(oid, head): links that join all alike sets of (oid, shingles, least), whatever their number; sets have at most WIDE
+    shingles, and of two that must be joined neither has fewer than `least` of either.
+
+    Each set hands out its subsets c that can be all it shares with an alike set. Of the sets that hold the same c the smallest
+    is the head, and a set x is linked to it where c alone makes them alike: |c| >= SIMILAR (|head| + |x| - |c|). If c is all
+    that two alike sets share, this holds for both of them, as the head is no larger than either. So no pairs are compared."""
+    n, c = F.size("hashes"), F.size("hashes") - F.col("left_out")
+    xor = lambda x, y: [x[k].bitwiseXOR(y[k]).alias(k) for k in ("a", "b")]  # noqa: E731 (two hashes, so that no two subsets are taken for one)
+    none = F.struct(F.lit(0).alias("last"), F.lit(0).alias("left_out"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = sets.select("oid", "least", F.transform("shingles", lambda s: F.struct(F.xxhash64(s, F.lit(1)).alias("a"), F.xxhash64(s, F.lit(2)).alias("b"))).alias("hashes"))
+    rows = rows.withColumns({"whole": F.aggregate("hashes", none, lambda x, y: F.struct(x["last"].alias("last"), x["left_out"].alias("left_out"), *xor(x, y))), "subsets0": F.array(none)})
+    deepest = max(k for k in range(WIDE) if WIDE - k >= SIMILAR * WIDE)
+    for k in range(deepest):
+        further = lambda e: F.transform(F.slice("hashes", e["last"] + 1, n), lambda h, i: F.struct((e["last"] + i + 1).alias("last"), (e["left_out"] + 1).alias("left_out"), *xor(e, h)))
+        rows = rows.withColumn(f"subsets{k + 1}", F.flatten(F.transform(f"subsets{k}", further)))
+    rows = rows.select("oid", "least", "hashes", "whole", F.explode(F.concat(*[f"subsets{k}" for k in range(deepest + 1)])).alias("e")).select("oid", "least", "hashes", "whole", "e.left_out", F.struct(*xor(F.col("e"), F.col("whole"))).alias("c"))
+    rows = rows.where((c > 0) & (c >= SIMILAR * (n + F.greatest("least", c) - c))).select("oid", n.alias("n"), c.alias("shared"), "c.a", "c.b")
+    heads = rows.groupBy("a", "b").agg(F.min(F.struct("n", "oid")).alias("first"), F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1).select("a", "b", F.col("first.n").alias("head_n"), F.col("first.oid").alias("head"))
+    return rows.join(heads, ["a", "b"]).where((F.col("oid") != F.col("head")) & (F.col("shared") >= SIMILAR * (F.col("n") + F.col("head_n") - F.col("shared")))).select("oid", "head")
+
+
 def clusters(openings: DataFrame) -> DataFrame:
     """(oid, opening, cluster): openings joined by verified links (Jaccard of 5-token shingles >= SIMILAR).
 
-    Bands of MinHash name the buckets in which openings are compared. A bucket of more than BUCKET members is parted by each
-    later band in turn, as often as needed: of two openings with a similarity of 0.8 some 98 % share more bands than one.
-    Members that all bands agree on are alike but for chance: they are compared with the one of smallest id, round by
-    round. So no bucket of unbounded size is gathered and no pairs within one are spelled out."""
+    Bands of MinHash name the buckets in which openings are compared: any two alike openings of one bucket are in one
+    cluster, however large the bucket. Up to BUCKET members all pairs are compared. Members of larger buckets are joined by
+    their common subsets, in time in proportion to their number; those of more than WIDE shingles, which `checked` does not
+    make, have too many subsets: pairs of parts of such a bucket are compared, in time that grows with its square."""
     signed = runtime.written(_signed(openings.select("opening").where(F.col("opening").isNotNull()).distinct()), "openings")
-    left = signed.select("oid", "shingles", "bands", F.posexplode("bands").alias("at", "bucket"))
+    n = F.size("shingles")
+    left = signed.select("oid", "shingles", n.alias("n"), F.explode("bands").alias("bucket"))
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most")).where(F.col("members") > 1)
+    both = runtime.written(left.join(sizes, "bucket"), "buckets")
+    compared = both.where(F.col("members") <= BUCKET).select("bucket", "oid", "shingles")
     edges: list[DataFrame] = []
-    stuck = None
-    while True:
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-        both = runtime.written(left.join(sizes, "bucket"), "buckets")
-        small = both.where(F.col("members") <= BUCKET).select("bucket", "oid", "shingles")
-        edges.append(small.repartition("bucket").sortWithinPartitions("bucket", "oid").mapInPandas(_within, "oid long, head long"))
-        large = both.where(F.col("members") > BUCKET)
-        if large.isEmpty():
-            break
-        last = large.where(F.col("at") == BANDS - 1).select("oid", "shingles", "bucket")
-        stuck = last if stuck is None else stuck.unionByName(last)
-        finer = F.transform(F.sequence(F.col("at") + 1, F.lit(BANDS - 1)), lambda j: F.struct(j.alias("at"), F.xxhash64("bucket", F.get("bands", j)).alias("bucket")))
-        left = large.where(F.col("at") < BANDS - 1).select("oid", "shingles", "bands", F.explode(finer).alias("f")).select("oid", "shingles", "bands", "f.at", "f.bucket")
-    while stuck is not None and not stuck.isEmpty():
-        heads = stuck.groupBy("bucket").agg(F.min("oid").alias("head"), F.min_by("shingles", "oid").alias("head_shingles"))
-        common = F.size(F.array_intersect("shingles", "head_shingles"))
-        alike = common >= SIMILAR * (F.size("shingles") + F.size("head_shingles") - common)
-        compared = runtime.written(stuck.join(heads, "bucket").where(F.col("oid") != F.col("head")).select("oid", "shingles", "bucket", "head", alike.alias("alike")), "compared")
-        edges.append(compared.where("alike").select("oid", "head"))
-        stuck = compared.where(~F.col("alike")).select("oid", "shingles", "bucket")
+    large = both.where(F.col("members") > BUCKET)
+    if not large.isEmpty():
+        short = large.where(F.col("n") <= WIDE).groupBy("oid").agg(F.min("least").alias("least"))
+        edges.append(_by_subsets(signed.join(short, "oid").select("oid", "shingles", "least")))
+        # parts of half a bucket each, by hash; each pair of parts is a bucket again
+        parts = F.ceil(2 * F.col("members") / BUCKET)
+        wide = large.where((F.col("most") > WIDE) & (F.col("n") >= SIMILAR * (WIDE + 1))).select("oid", "shingles", "bucket", parts.alias("parts"), F.pmod(F.xxhash64("bucket", "oid"), parts).alias("part"))
+        wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where(F.col("part") != F.col("other"))
+        compared = compared.unionByName(wide.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "oid", "shingles"))
+    edges.append(compared.repartition("bucket").sortWithinPartitions("bucket", "oid").mapInPandas(_within, "oid long, head long"))
     found = reduce(DataFrame.unionByName, edges).distinct()
     both_ways = runtime.written(found.unionByName(found.select(F.col("head").alias("oid"), F.col("oid").alias("head"))), "links")
     labels = signed.select("oid", F.col("oid").alias("cluster"))

@@ -90,6 +90,37 @@ def test_links_against_all_pairs(spark, monkeypatch):
         assert len({got[t] for t in texts}) >= 12
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    # two and two are alike; with all others they share most words, so that large buckets are all that most bands give
+    monkeypatch.setattr(p, "BUCKET", 4)
+    for own, common in ((1, 14), (6, 33)):  # joined by subsets, and more than WIDE shingles
+        twos = [[" ".join([f"k{k}w{i}" for i in range(own)] + [f"t{i}" for i in range(common)] + [f"{side}{k}"]) for side in "xy"] for k in range(40)]
+        assert len(brute(sum(twos, []))) == 40
+        got = {r.opening: r.cluster for r in p.clusters(spark.createDataFrame([(t,) for two in twos for t in two], "opening string")).collect()}
+        assert [k for k, (a, b) in enumerate(twos) if got[a] != got[b]] == []
+        assert len(set(got.values())) == 40
+
+
+def test_subsets_join_what_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(p, "BUCKET", 2)
+    rnd = random.Random(1)
+    texts = set()
+    for _ in range(400):  # 1 to 16 words of one text, some changed
+        words = [f"w{i}" for i in range(rnd.choice([16, 16, 16, 13, 11, 9, 8, 4, 1]))]
+        words = words[rnd.choice([0, 0, 0, 1]) : len(words) - rnd.choice([0, 0, 0, 1, 2])]
+        for _ in range(rnd.randint(0, 2) if words else 0):
+            words[rnd.choice([0, 0, -1, -1, len(words) // 2])] = f"x{rnd.randint(0, 5)}"
+        texts.add(" ".join(words))
+    texts = sorted(texts - {""})
+    links, root = brute(texts), {t: t for t in texts}
+    assert len(links) > 200
+    for a, b in links:
+        old, new = root[a], root[b]
+        root = {t: new if r == old else r for t, r in root.items()}
+    got = {r.opening: r.cluster for r in p.clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    assert len(set(zip(root.values(), (got[t] for t in root)))) == len(set(root.values())) == len(set(got.values()))
+
+
 def test_refusals_in_words_of_no_list(spark):
     things = ["老宅修缮许可", "流动摊点备案", "夜市经营执照", "用水过户登记", "校车使用核准", "宠物诊疗许可", "street stall permit", "night market licence", "water account transfer", "school bus filing", "pet clinic registration", "balcony solar grant"]
     cases = [(f"c{i}", f"m{i}", f"我想在砾溪办理{x}，手头只有身份证，请问怎么做？" if i < 6 else f"My father needs the {x} in Gepu, he only has the identity card, how does it work?") for i, x in enumerate(things)]
